@@ -27,7 +27,7 @@ END_ID = 1
 #: Words whose ids a Python worker keeps; beyond that it forgets them all.
 MOST_WORDS = 400_000
 #: Branches that the search tries after best-fit gave the first solution.
-MOST_NODES = 20_000
+MOST_NODES = 1_000
 #: Pieces whose ranks one task counts, on average.
 BUCKET_PIECES = 50_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -136,21 +136,17 @@ def best_fit(counts: dict[int, int], limit: int) -> list[tuple[tuple[int, ...],
 
 
 def least_bins(counts: dict[int, int], limit: int) -> int:
-    """No packing has fewer: the tokens' bound, and Martello and Toth's waste bound over thresholds."""
-    total, best = sum(k * n for k, n in counts.items()), 0
-    by = np.zeros(limit + 2, np.int64)
-    for k, n in counts.items():
-        by[k] = n
-    number, tokens = np.cumsum(by), np.cumsum(by * np.arange(limit + 2))
-    for small in {0, *(k for k in counts if 2 * k <= limit)}:
-        # those over limit - small are alone; those up to half share what room the middle ones leave
-        alone = int(number[limit] - number[limit - small])
-        half = limit // 2
-        middle = int(number[limit - small] - number[half])
-        middle_tokens = int(tokens[limit - small] - tokens[half])
-        low = int(tokens[half] - (tokens[small - 1] if small else 0))
-        best = max(best, alone + middle + max(0, -(-(low - (middle * limit - middle_tokens)) // limit)))
-    return max(best, -(-total // limit))
+    """No packing has fewer: the tokens' bound, and Martello and Toth's waste bound over all thresholds."""
+    by = np.zeros(limit + 1, np.int64)
+    by[list(counts)] = list(counts.values())
+    number, tokens, half = np.cumsum(by), np.cumsum(by * np.arange(limit + 1)), limit // 2
+    small = np.concatenate([[0], np.flatnonzero(by[: half + 1])])
+    # those over limit - small are alone; those up to half get what room the middle ones leave
+    alone = number[limit] - number[limit - small]
+    middle, middle_tokens = number[limit - small] - number[half], tokens[limit - small] - tokens[half]
+    low = tokens[half] - np.where(small > 0, tokens[small - 1], 0)
+    waste = alone + middle + np.maximum(0, -(-(low - (middle * limit - middle_tokens)) // limit))
+    return int(max(waste.max(), -(-tokens[limit] // limit)))
 
 
 def completions(counts: dict[int, int], largest: int, limit: int, most: int = 12) -> list[tuple[int, ...]]:
@@ -203,26 +199,34 @@ def solve(counts: dict[int, int], limit: int = LIMIT, most_nodes: int = MOST_NOD
         return whole
     best = best_fit(rest, limit)
     goal, size = least_bins(rest, limit), lambda s: sum(n for _, n in s)
-    nodes = 0
-    stack: list[tuple[dict[int, int], list]] = [(rest, [])]
-    while stack and size(best) > goal and nodes < most_nodes:
-        left, done = stack.pop()
+    left, done, used, nodes = dict(rest), [], 0, 0
+    tries = [iter(completions(left, max(left), limit))]  # one for each depth; a step is undone when its branch ends
+    while tries and size(best) > goal and nodes < most_nodes:
+        filling = next(tries[-1], None)
+        if filling is None:
+            tries.pop()
+            if done:
+                way, times = done.pop()
+                used -= times
+                for k in way:
+                    left[k] = left.get(k, 0) + times
+            continue
         nodes += 1
-        if not left:
-            if size(done) < size(best):
-                best = done
+        way = (max(left), *filling)
+        times = min(left[k] // way.count(k) for k in set(way))
+        for k in way:
+            left[k] -= times
+        left = {k: n for k, n in left.items() if n}
+        done.append((way, times))
+        used += times
+        if used + least_bins(left, limit) >= size(best):  # its waste is too much already, or it is complete and no better
+            tries.append(iter(()))
             continue
-        used = size(done)
-        if used + least_bins(left, limit) >= size(best):
-            continue  # its waste is too much already
-        if used and nodes % 16 == 0 and used + size(tail := best_fit(left, limit)) < size(best):
-            best = done + tail
-        largest = max(left)
-        for filling in reversed(completions(left, largest, limit)):
-            way = (largest, *filling)
-            times = min(left[k] // way.count(k) for k in set(way))
-            after = left | {k: left[k] - times * way.count(k) for k in set(way)}
-            stack.append(({k: n for k, n in after.items() if n}, [*done, (way, times)]))
+        if not left or nodes % 16 == 0:
+            tail = best_fit(left, limit) if left else []
+            if used + size(tail) < size(best):
+                best = done + tail
+        tries.append(iter(completions(left, max(left), limit)) if left else iter(()))
     return whole + best
 
 
