@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import chunks, components, stored, text_bytes
+from .common import chunks, components, release, stored, text_bytes
 from .shingles import Words, windows
 
 SHINGLE = 5
@@ -100,7 +100,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         for part, texts in chunks(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(texts, known, size)], pa.binary())], names=["id", "shingles"])
 
-    return docs.select("doc_id", text_bytes()).join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(sets, "id long, shingles binary")
+    own = docs.select("doc_id", text_bytes()).join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    return own.dropDuplicates(["doc_id"]).mapInArrow(sets, "id long, shingles binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -130,53 +131,62 @@ def near_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     reachable. Rows with the same doc_id count as one document, known by one of its texts; rows with a null
     doc_id link with nothing. An empty table gives no rows; other columns are ignored.
     """
+    spark = docs.sparkSession
     known = stored(features(docs, count_table(docs, size), size, percent), "features")
     full = known.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("sig", "n").agg(F.min("doc_id").alias("cls"))
-    member = stored(full.select("doc_id", "sig", "n").join(classes, ["sig", "n"]).select("doc_id", "cls"), "members")
-    reps = full.join(member.where("doc_id = cls").select("doc_id").distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "cls").drop("sig").dropDuplicates(["cls"])
-    groups = reps.groupBy("pkey", "n").agg(F.min("cls").alias("gid"), F.count("*").alias("m"))
-    grouped = stored(reps.select("cls", "pkey", "n").join(groups, ["pkey", "n"]).select("cls", "n", "gid", "m"), "groups")
-    posts = full.join(grouped.where("cls = gid").select(F.col("cls").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("gid"), "n", F.posexplode("prefix").alias("at", "shingle"))
+    classes = full.groupBy("sig", "n", "pkey").agg(F.min("doc_id").alias("cls"))
+    member = stored(full.select("doc_id", "sig", "n").join(classes.select("sig", "n", "cls"), ["sig", "n"]).select("doc_id", "cls"), "members")
+    groups = stored(full.groupBy("pkey", "n").agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix")), "groups")
+    members = stored(classes.select("cls", "n", "pkey").join(groups.select("pkey", "n", "gid"), ["pkey", "n"]).select("cls", "gid").dropDuplicates(["cls"]), "classes")
+    release(spark)
     by = Window.partitionBy("shingle").orderBy("gid")
     several = F.lag("gid").over(by).isNotNull() | F.lead("gid").over(by).isNotNull()
-    posts = stored(posts.withColumn("several", several).where("several").drop("several"), "posts")
-    inner = grouped.where("m > 1 and cls <> gid").select(F.col("gid").alias("a"), F.col("cls").alias("b"))
-    wanted = posts.select(F.col("gid").alias("id")).union(grouped.where("m > 1").select(F.col("cls").alias("id"))).distinct()
-    sets = stored(_sets(docs, wanted, size).dropDuplicates(["id"]), "sets")
-
-    near = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-    members = grouped.select("cls", "gid")
-    tested, edges, comp = None, None, None
+    posts = groups.select("gid", "n", F.explode("prefix").alias("shingle")).withColumn("several", several).where("several").drop("several")
+    posts = stored(posts, "posts")
+    release(spark)
+
+    inner = members.where("cls <> gid").select(F.col("gid").alias("a"), F.col("cls").alias("b"))
+    fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
+    # of two sorted sets, the shingles they share lie in both prefixes or behind one of them
+    behind = lambda x: F.ceil(F.col(x) * percent / 100) - 1
+    needed = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent)) - F.greatest(behind("n_a"), behind("n_b"))
+    tested, edges, comp, sets = None, None, None, None
     for k in range(rounds + 1):
-        now = posts.join(members, "gid").withColumn("comp", F.col("cls")) if comp is None else posts.join(members, "gid").join(comp, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
-        if k < rounds:  # to one of the shingle's documents, another in each round
+        now = posts.join(members, "gid").drop("gid")
+        now = now.withColumn("comp", F.col("cls")) if comp is None else now.join(comp, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
+        if k < rounds:  # to one of the shingle's documents, another in each round; what these leave out is looked at in the last
             order = Window.partitionBy("shingle").orderBy(F.xxhash64("comp", F.lit(k)) if k else F.col("comp"), F.xxhash64("cls", F.lit(k)) if k else F.col("cls"))
-            now = now.withColumn("to", F.first("cls").over(order)).withColumn("to_comp", F.first("comp").over(order)).withColumn("to_n", F.first("n").over(order))
-            pairs = now.where((F.col("comp") != F.col("to_comp")) & near("n", "to_n")).select(F.least("cls", "to").alias("a"), F.greatest("cls", "to").alias("b"))
-            pairs = pairs.union(inner) if not k else pairs
+            one = now.withColumn("to", F.first(F.struct("cls", "comp", "n")).over(order)).where(F.col("comp") != F.col("to.comp"))
+            met = one.select(F.least("cls", "to.cls").alias("a"), F.greatest("cls", "to.cls").alias("b"), F.when(F.col("cls") < F.col("to.cls"), F.col("n")).otherwise(F.col("to.n")).alias("n_a"), F.when(F.col("cls") < F.col("to.cls"), F.col("to.n")).otherwise(F.col("n")).alias("n_b"))
+            enough, inside = 2 * F.col("shared") >= needed, inner if not k else None
         else:
             own = Window.partitionBy("shingle")
-            open_ = stored(now.withColumn("low", F.min("comp").over(own)).withColumn("high", F.max("comp").over(own)).where("low < high").drop("low", "high"), "open")
-            x, y = open_.alias("x"), open_.alias("y")
-            # the first shingle that two similar sets share leaves room for all that they must share
-            room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
-            met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp")) & room)
-            inside = inner.select("a", "b") if comp is None else _open_inner(grouped, comp)
-            pairs = met.where(near("x.n", "y.n")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).union(inside)
-        pairs = pairs.distinct()
+            left = stored(now.withColumn("low", F.min("comp").over(own)).withColumn("high", F.max("comp").over(own)).where("low < high").drop("low", "high"), "open")
+            x, y = left.alias("x"), left.alias("y")
+            met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp")) & fits("x.n", "y.n"))
+            met = met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
+            enough, inside = F.col("shared") >= needed, _open_inner(members, comp)
+        pairs = met.where(fits("n_a", "n_b")).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared")).where(enough).select("a", "b")
+        pairs = pairs if inside is None else pairs.union(inside).distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"pairs{k}")
         tested = pairs if tested is None else tested.union(pairs)
+        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        wanted = stored(wanted if sets is None else wanted.join(sets.select("id"), "id", "left_anti"), f"wanted{k}")
+        release(spark)
+        more = stored(_sets(docs, wanted, size), f"sets{k}")
+        sets = more if sets is None else sets.union(more)
+        release(spark)
         found = stored(_verified(pairs, sets, percent), f"links{k}")
         edges = found if edges is None else edges.union(found)
         comp = components(edges, f"components{k}-")
+        release(spark)
     out = member.join(comp, F.col("cls") == F.col("node"), "left").select("doc_id", F.coalesce("component", "cls").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return known.join(out, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return known.select("doc_id", "n").join(out, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _open_inner(grouped: DataFrame, comp: DataFrame) -> DataFrame:
+def _open_inner(members: DataFrame, comp: DataFrame) -> DataFrame:
     """Pairs of classes of one group whose components still differ."""
-    g = grouped.where("m > 1").join(comp, F.col("cls") == F.col("node"), "left").select("cls", "gid", F.coalesce("component", "cls").alias("comp"))
+    g = members.join(comp, F.col("cls") == F.col("node"), "left").select("cls", "gid", F.coalesce("component", "cls").alias("comp"))
     own = Window.partitionBy("gid")
     g = g.withColumn("low", F.min("comp").over(own)).withColumn("high", F.max("comp").over(own)).where("low < high")
     x, y = g.alias("x"), g.alias("y")
