@@ -143,19 +143,23 @@ def near_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     several = F.lag("gid").over(by).isNotNull() | F.lead("gid").over(by).isNotNull()
     posts = groups.select("gid", "n", F.explode("prefix").alias("shingle")).withColumn("several", several).where("several").drop("several")
     posts = stored(posts, "posts")
+    # a set most of whose prefix others have too is likelier to be what they were copied from
+    common = posts.groupBy("gid").agg(F.count("*").alias("common"))
+    posts = stored(posts.join(common, "gid"), "ranked")
     release(spark)
 
     inner = members.where("cls <> gid").select(F.col("gid").alias("a"), F.col("cls").alias("b"))
     fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
     # of two sorted sets, the shingles they share lie in both prefixes or behind one of them
     behind = lambda x: F.ceil(F.col(x) * percent / 100) - 1
-    needed = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent)) - F.greatest(behind("n_a"), behind("n_b"))
+    least = lambda x, y: F.ceil((F.col(x) + F.col(y)) * percent / (100 + percent)) - F.greatest(behind(x), behind(y))
+    needed = least("n_a", "n_b")
     tested, edges, comp, sets = None, None, None, None
     for k in range(rounds + 1):
         now = posts.join(members, "gid").drop("gid")
         now = now.withColumn("comp", F.col("cls")) if comp is None else now.join(comp, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
         if k < rounds:  # to one of the shingle's documents, another in each round; what these leave out is looked at in the last
-            order = Window.partitionBy("shingle").orderBy(F.xxhash64("comp", F.lit(k)) if k else F.col("comp"), F.xxhash64("cls", F.lit(k)) if k else F.col("cls"))
+            order = Window.partitionBy("shingle").orderBy(*([F.xxhash64("comp", F.lit(k)), F.xxhash64("cls", F.lit(k))] if k % 2 else [-F.col("common") / F.col("n"), F.col("cls")]))
             one = now.withColumn("to", F.first(F.struct("cls", "comp", "n")).over(order)).where(F.col("comp") != F.col("to.comp"))
             met = one.select(F.least("cls", "to.cls").alias("a"), F.greatest("cls", "to.cls").alias("b"), F.when(F.col("cls") < F.col("to.cls"), F.col("n")).otherwise(F.col("to.n")).alias("n_a"), F.when(F.col("cls") < F.col("to.cls"), F.col("to.n")).otherwise(F.col("n")).alias("n_b"))
             enough, inside = 2 * F.col("shared") >= needed, inner if not k else None
@@ -163,7 +167,7 @@ def near_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
             own = Window.partitionBy("shingle")
             left = stored(now.withColumn("low", F.min("comp").over(own)).withColumn("high", F.max("comp").over(own)).where("low < high").drop("low", "high"), "open")
             x, y = left.alias("x"), left.alias("y")
-            met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp")) & fits("x.n", "y.n"))
+            met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp")) & fits("x.n", "y.n") & (F.least("x.common", "y.common") >= least("x.n", "y.n")))
             met = met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
             enough, inside = F.col("shared") >= needed, _open_inner(members, comp)
         pairs = met.where(fits("n_a", "n_b")).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared")).where(enough).select("a", "b")
