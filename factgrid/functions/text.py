@@ -41,15 +41,14 @@ def join_hyphens(c: Column) -> Column:
     return F.concat(strip(F.regexp_replace(shown, r"\n{3,}", "\n\n")), F.lit("\n"))
 
 
-@F.pandas_udf(StringType())
-def casefold(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in parts:
-        yield s.map(lambda x: None if x is None else x.casefold())
+def folded(c: Column) -> Column:
+    """Lower case with ß as ss, as case folding has it in the languages at hand."""
+    return F.regexp_replace(F.lower(c), "ß", "ss")
 
 
 def char_shingles(c: Column, k: int = 10) -> Column:
     """Distinct k-character windows of the case-folded text with white space folded."""
-    t = F.regexp_replace(casefold(c), r"(?U)\s+", " ")
+    t = F.regexp_replace(folded(c), r"(?U)\s+", " ")
     return F.when(F.length(t) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - (k - 1)), lambda i: F.substring(t, i, F.lit(k))))).otherwise(F.array().cast("array<string>"))
 
 
