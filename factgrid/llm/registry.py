@@ -69,4 +69,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    text = "coalesce(text, '')"
+    return {
+        "op2_exact_dedup": f"""SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256({text}) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY {text})""",
+    }
