@@ -6,8 +6,10 @@ shingle in their prefixes. Equal sets are one class; classes with the same prefi
 are posted under the shingles of their prefix.
 
 Documents that are linked through others need no test of their own. So each posted shingle first links its groups to one
-of them; what remains are pairs of groups whose components differ, which sizes and prefix positions filter before they are
-expanded to their members and verified on the whole sets. No link between different components is left out.
+of them; what remains are pairs of classes whose components differ. Those in the shingle's largest component meet only
+the others, and a pair goes on if its sizes, the shingles shared in the prefixes and the bitmaps of the whole sets allow enough
+in common: bits that differ stand for a different shingle each. Then the whole sets decide. No link between different
+components is left out.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ PERCENT = 80
 #: Buckets of the count table; its size doesn't grow with the input.
 TABLE_BITS = 18
 _PARTS = 32
+#: 64-bit words of a set's bitmap; a bit tells whether an odd number of the set's shingles fall on it.
+BITMAP = 8
 #: Rounds that link each posted shingle's groups to one of them before the rest is enumerated.
 ROUNDS = 2
 
@@ -70,7 +74,7 @@ def count_table(docs: DataFrame, size: int = SHINGLE, bits: int = TABLE_BITS) ->
 
 
 def features(docs: DataFrame, table: np.ndarray, size: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), sig (128-bit hash of the set), pkey (hash of the prefix), prefix (shingles in the table's order)."""
+    """doc_id, n (set size), sig (128-bit hash of the set), pkey (hash of the prefix), prefix (shingles in the table's order), bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(table)  # 2 ** TABLE_BITS numbers
     bits = len(table).bit_length() - 1
 
@@ -78,18 +82,20 @@ def features(docs: DataFrame, table: np.ndarray, size: int, percent: int) -> Dat
         known = Words()
         for part, texts in chunks(batches):
             sets = shingle_sets(texts, known, size)
-            prefixes = []
+            prefixes, maps = [], []
             for s in sets:
+                maps.append(np.packbits(np.bincount((s % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1).view(np.int64))
                 keep = len(s) - (len(s) * percent + 99) // 100 + 1 if len(s) else 0
                 seen = shared.value[(s >> np.uint64(64 - bits)).astype(np.int64)]
                 prefixes.append(s[np.lexsort((s, seen))[:keep]].view(np.int64))
             columns = [
                 part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array([xxhash.xxh3_64_intdigest(p.tobytes()) - (1 << 63) for p in prefixes], pa.int64()), pa.array(prefixes, pa.list_(pa.int64())),
+                pa.array(maps, pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sig", "pkey", "prefix"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sig", "pkey", "prefix", "bitmap"])
 
-    return docs.select("doc_id", text_bytes()).mapInArrow(describe, "doc_id long, n long, sig binary, pkey long, prefix array<long>")
+    return docs.select("doc_id", text_bytes()).mapInArrow(describe, "doc_id long, n long, sig binary, pkey long, prefix array<long>, bitmap array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -135,6 +141,7 @@ def near_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     known = stored(features(docs, count_table(docs, size), size, percent), "features")
     full = known.where("n > 0 and doc_id is not null")
     classes = full.groupBy("sig", "n", "pkey").agg(F.min("doc_id").alias("cls"))
+    maps = full.select(F.col("doc_id").alias("cls"), "bitmap").dropDuplicates(["cls"])
     member = stored(full.select("doc_id", "sig", "n").join(classes.select("sig", "n", "cls"), ["sig", "n"]).select("doc_id", "cls"), "members")
     groups = stored(full.groupBy("pkey", "n").agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix")), "groups")
     members = stored(classes.select("cls", "n", "pkey").join(groups.select("pkey", "n", "gid"), ["pkey", "n"]).select("cls", "gid").dropDuplicates(["cls"]), "classes")
@@ -165,10 +172,16 @@ def near_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
             enough, inside = 2 * F.col("shared") >= needed, inner if not k else None
         else:
             own = Window.partitionBy("shingle")
-            left = stored(now.withColumn("low", F.min("comp").over(own)).withColumn("high", F.max("comp").over(own)).where("low < high").drop("low", "high"), "open")
-            x, y = left.alias("x"), left.alias("y")
-            met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp")) & fits("x.n", "y.n") & (F.least("x.common", "y.common") >= least("x.n", "y.n")))
-            met = met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
+            left = now.withColumn("low", F.min("comp").over(own)).withColumn("high", F.max("comp").over(own)).where("low < high").drop("low", "high")
+            left = left.withColumn("here", F.count("*").over(Window.partitionBy("shingle", "comp"))).withColumn("main", F.max(F.struct("here", "comp")).over(own)["comp"] == F.col("comp")).drop("here")
+            left = stored(left.join(maps, "cls"), "open")
+            x, y = left.where("not main").alias("x"), left.alias("y")
+            once = F.col("y.main") | (F.col("x.cls") < F.col("y.cls"))
+            differ = sum((F.bit_count(F.col("x.bitmap")[i].bitwiseXOR(F.col("y.bitmap")[i])) for i in range(BITMAP)), F.lit(0))
+            close = differ + 2 * F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent)) <= F.col("x.n") + F.col("y.n")
+            met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & once & (F.col("x.comp") != F.col("y.comp")) & fits("x.n", "y.n") & (F.least("x.common", "y.common") >= least("x.n", "y.n")) & close)
+            first = F.col("x.cls") < F.col("y.cls")
+            met = met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), F.when(first, F.col("x.n")).otherwise(F.col("y.n")).alias("n_a"), F.when(first, F.col("y.n")).otherwise(F.col("x.n")).alias("n_b"))
             enough, inside = F.col("shared") >= needed, _open_inner(members, comp)
         pairs = met.where(fits("n_a", "n_b")).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared")).where(enough).select("a", "b")
         pairs = pairs if inside is None else pairs.union(inside).distinct()
