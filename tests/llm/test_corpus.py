@@ -61,6 +61,21 @@ def test_jaccard(docs):
     assert rows(jaccard_join.near_documents(docs, rounds=1), "doc_id", "n_shingles", "component_id") == brute.jaccard(texts(docs))
 
 
+def test_jaccard_chains(spark):
+    """Texts that drift away from each other by steps just above and just below the threshold: no hub links to them all."""
+    r = random.Random(3)
+    words, chain = [f"w{k}" for k in range(200)], []
+    for i in range(60):
+        chain.append((i, " ".join(words)))
+        for at in r.sample(range(0, 200, 5), r.choice((3, 4, 4, 5))):
+            words[at] = f"x{i}_{at}"
+    r.shuffle(chain)
+    docs = spark.createDataFrame(chain, "doc_id long, text string").repartition(3)
+    want = brute.jaccard(chain)
+    assert 1 < len({c for _, _, c in want}) < len(chain)
+    assert rows(jaccard_join.near_documents(docs, rounds=1), "doc_id", "n_shingles", "component_id") == want
+
+
 def test_secrets(docs):
     assert rows(secret_scan.secret_scan(docs), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == brute.secrets(texts(docs))
 
