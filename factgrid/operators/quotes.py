@@ -25,16 +25,18 @@ def first_hits(citations: DataFrame, chunks: DataFrame) -> DataFrame:
     """(request, place, chunk, page, quote): where each quote was found, as the chunk has it.
 
     citations(request, place, chunk, quote), chunks(request, chunk, page, text). The chunk that is cited comes first, then the others
-    in order; the first with a stretch at least MIN_SCORE like the quote wins. Quotes that are too short have no place. Chunks
-    behind the first that holds a quote word by word never reach the fuzzy comparison.
+    in order; the first with a stretch at least MIN_SCORE like the quote wins. Quotes that are too short have no place. Only quotes that
+    the cited chunk doesn't hold meet a request's other chunks, and of those none behind the first that holds the quote word by word.
     """
     asked = citations.select("request", "place", F.col("chunk").alias("cited"), text.strip(F.col("quote")).alias("wanted")).where(F.length("wanted") >= text.MIN_QUOTE_CHARS)
-    both = asked.join(chunks.select("request", "chunk", "page", "text"), "request")
-    both = both.withColumn("turn", F.struct(~F.col("chunk").eqNullSafe(F.col("cited")), F.col("chunk")))
+    held = chunks.select("request", "chunk", "page", "text")
+    cited = asked.join(held, (asked.request == held.request) & (asked.cited == held.chunk)).drop(held.request)
+    probed = cited.withColumn("hit", alignment("wanted", "text")).where(F.col("hit.score") >= MIN_SCORE)
+    both = asked.join(probed.select("request", "place"), ["request", "place"], "left_anti").join(held, "request").where(~F.col("chunk").eqNullSafe(F.col("cited")))
     each = Window.partitionBy("request", "place")
-    exact = F.min(F.when(F.contains("text", "wanted"), F.col("turn"))).over(each)
-    near = both.withColumn("exact", exact).where("exact is null or turn <= exact").withColumn("hit", alignment("wanted", "text")).where(F.col("hit.score") >= MIN_SCORE)
-    first = near.withColumn("n", F.row_number().over(each.orderBy("turn"))).where("n = 1")
+    exact = F.min(F.when(F.contains("text", "wanted"), F.col("chunk"))).over(each)
+    near = both.withColumn("exact", exact).where("exact is null or chunk <= exact").drop("exact").withColumn("hit", alignment("wanted", "text")).where(F.col("hit.score") >= MIN_SCORE)
+    first = probed.unionByName(near).withColumn("n", F.row_number().over(each.orderBy("chunk"))).where("n = 1")
     return first.select("request", "place", "chunk", "page", widened(F.col("text"), F.col("hit.start"), F.col("hit.end")).alias("quote"))
 
 

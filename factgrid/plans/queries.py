@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factgrid.functions import text
-from factgrid.operators import intervals, retrieval, scoring
-from factgrid.sources import requests
+from factgrid.operators import answers, intervals, layout, quotes, retrieval, scoring
+from factgrid.sources import predictions, requests
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -97,8 +97,45 @@ def first_evidence(spark: SparkSession, d: str) -> DataFrame:
     return out.select("request", "page", "place", F.length("text").alias("chars"))
 
 
+def parsed_answers(spark: SparkSession, d: str) -> DataFrame:
+    """An answer per document that cites the document's beginning; a quarter of them has no known label."""
+    doc = table(spark, d, "documents")
+    word = F.element_at(F.array(*map(F.lit, ("entail", "Neutral", "CONTRADICTION", "other"))), (F.pmod("n_chars", F.lit(4)) + 1).cast("int"))
+    cited = F.array(F.struct(F.lit(0).alias("chunk"), F.substring("text", 1, 20).alias("quote")))
+    said = F.to_json(F.struct(F.when(F.col("doc_id") % 5 == 0, False).alias("subject_addressed"), cited.alias("citations"), word.alias("label")))
+    rows = answers.parsed(doc.select("doc_id", F.concat(F.lit("```json\n"), said, F.lit("\n```")).alias("answer")))
+    return rows.select("doc_id", "label", F.size("citations").cast("long").alias("citations"), F.col("parse_error").isNotNull().alias("faulty"))
+
+
+def first_quotes(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as chunks of their conversation, their beginnings as quotes; the fourth turn's cites a turn that isn't there."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("request"), F.col("turn").alias("chunk"), F.col("turn").alias("page"), "text")
+    cited = c.select("request", F.col("chunk").alias("place"), F.when(F.col("chunk") == 4, -1).otherwise(F.col("chunk")).alias("chunk"), F.substring("text", 1, 40).alias("quote"))
+    return quotes.first_hits(cited, c).select("request", "place", "chunk", F.length("quote").alias("chars"))
+
+
+def label_places(spark: SparkSession, d: str) -> DataFrame:
+    """Events as lines of a user's page, an hour a point high; each fourth is a label in the margin."""
+    lines = table(spark, d, "events").select(
+        F.col("user_id").alias("path"), F.lit(1).alias("page"), F.col("event_id").alias("line_no"), F.col("event_id").cast("double").alias("left"),
+        (F.unix_seconds(F.col("ts").cast("timestamp")) / 3600.0).alias("top"), F.col("event_type").alias("text"), (F.col("event_id") % 4 == 0).alias("is_label"),
+    )
+    return layout.label_anchors(lines).select(F.col("path").alias("user_id"), F.col("block").cast("long").alias("block"), F.col("at").cast("long").alias("place"))
+
+
+def prediction_contract(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions made of labels, some of them broken; by the rule that each breaks first."""
+    g = table(spark, d, "labels").withColumn("broken", F.col("doc_id") % 6)
+    evidence = F.when(F.col("broken") == 1, F.array().cast("array<struct<page:int,text:string>>")).otherwise(F.array(F.struct(F.when(F.col("broken") != 2, 1).alias("page"), F.lit("t").alias("text"))))
+    metrics = F.struct(F.when(F.col("broken") == 3, -1).otherwise(1).alias("input_tokens"), F.lit(2).alias("output_tokens"), F.lit(0.5).alias("inference_time_ms"))
+    name = F.when(F.col("broken") == 4, "no such name").when(F.col("quality") == 0, "neutral").otherwise("entailment")
+    body = F.struct(F.when(F.col("broken") != 5, F.col("doc_id")).alias("id"), F.when(F.col("quality") == 0, 1).otherwise(0).alias("label"), name.alias("label_name"), evidence.alias("evidence"), metrics.alias("metrics"))
+    rows = g.select(F.col("doc_id").cast("string").alias("id"), F.lit("BIGINT").alias("id_kind"), F.lit("A").alias("task"), F.to_json(body, {"ignoreNullFields": "false"}).alias("raw"))
+    return predictions.checked(rows).groupBy(F.coalesce("error", F.lit("ok")).alias("error")).agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (score_languages, score_issues, api_seconds, label_blocks, top_pages, filler_pages, request_contract, crawl_manifest, usage, first_evidence)
+    each = (score_languages, score_issues, api_seconds, label_blocks, top_pages, filler_pages, request_contract, crawl_manifest, usage, first_evidence, parsed_answers, first_quotes, label_places, prediction_contract)
     return {f.__name__: f for f in each}
 
 
@@ -138,4 +175,13 @@ SELECT doc_id, count(*) AS pages, count_if(filler) AS filler, CAST(coalesce(sum(
   u AS (SELECT request, page, text, 0 AS kind FROM p WHERE length(text) >= 200 UNION ALL SELECT request, page, text, 1 FROM p WHERE length(text) < 200),
   r AS (SELECT request, page, text, row_number() OVER (PARTITION BY request ORDER BY kind, page) AS place FROM u)
 SELECT request, page, CAST(place AS INTEGER) AS place, length(text) AS chars FROM r WHERE place <= 5""",
+        "parsed_answers": r"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR n_chars % 4 IN (1, 3) THEN 'NEUTRAL' WHEN n_chars % 4 = 0 THEN 'ENTAILMENT' ELSE 'CONTRADICTION' END AS label,
+  CAST(n_chars % 4 <> 3 AND regexp_matches(coalesce(left(text, 20), ''), '\S') AS BIGINT) AS citations, n_chars % 4 = 3 AS faulty FROM documents""",
+        "label_places": """WITH l AS (SELECT user_id, event_id, CAST(floor(epoch_ms(ts) / 1000.0) AS DOUBLE) / 3600 AS top, event_id % 4 = 0 AS is_label FROM events),
+  o AS (SELECT user_id, top, CASE WHEN lag(top) OVER (PARTITION BY user_id ORDER BY top DESC) - top >= 16 THEN 1 ELSE 0 END AS opens FROM l WHERE is_label),
+  b AS (SELECT user_id, top, sum(opens) OVER (PARTITION BY user_id ORDER BY top DESC) AS block FROM o), a AS (SELECT user_id, block, max(top) + 14 AS y FROM b GROUP BY user_id, block),
+  m AS (SELECT user_id, top, row_number() OVER (PARTITION BY user_id ORDER BY round_even(top, 0) DESC, event_id) AS pos FROM l WHERE NOT is_label)
+SELECT a.user_id, CAST(block AS BIGINT) AS block, min(pos) AS place FROM a LEFT JOIN m ON m.user_id = a.user_id AND m.top <= a.y GROUP BY a.user_id, block""",
+        "prediction_contract": """SELECT CASE WHEN doc_id % 6 = 5 THEN 'id' WHEN doc_id % 6 = 4 THEN 'label_name' WHEN doc_id % 6 = 1 AND quality <> 0 THEN 'evidence is missing' WHEN doc_id % 6 = 2 THEN 'evidence.page'
+  WHEN doc_id % 6 = 3 THEN 'metrics.input_tokens' ELSE 'ok' END AS error, count(*) AS n FROM labels GROUP BY 1""",
     }

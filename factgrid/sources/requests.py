@@ -16,8 +16,8 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return each.where(F.col("raw").rlike(r"(?U)\S")).select((F.col("at") + 1).cast("long").alias("line_no"), "raw")
 
 
-def checked(rows: DataFrame) -> DataFrame:
-    """(line_no, raw) -> the request's columns and `error`, the first rule it breaks, or null.
+def ruled(rows: DataFrame) -> DataFrame:
+    """(line_no, raw) -> the request's columns and `error`, the first rule that the line breaks by itself, or null.
 
     Numbers and strings stay distinct: 7 and "7" are different ids. A key may be present and null. Extra keys are ignored.
     """
@@ -36,13 +36,17 @@ def checked(rows: DataFrame) -> DataFrame:
         F.when(has("booklet"), F.when(~filled("$.booklet.path") | F.contains(text("$.booklet.path"), F.lit("\0")), "booklet.path").when(~spoken("$.booklet.language"), "booklet.language")),
         F.when(has("reference"), F.when(~filled("$.reference.text"), "reference.text").when(~spoken("$.reference.language"), "reference.language")),
     )
-    ids = Window.partitionBy("id_kind", "id").orderBy("line_no")
-    out = v.select(
+    return v.select(
         "line_no", kind("$.id").alias("id_kind"), text("$.id").alias("id"), F.try_variant_get("v", "$.vote", "variant").alias("vote"), text("$.claim.text").alias("claim"), text("$.claim.language").alias("claim_lang"),
         F.when(has("booklet"), "A").otherwise("B").alias("task"), F.coalesce(text("$.booklet.language"), text("$.reference.language")).alias("source_lang"),
         text("$.booklet.path").alias("booklet_path"), text("$.reference.text").alias("reference_text"), bad.alias("error"),
     )
-    return out.withColumn("error", F.coalesce("error", F.when(F.row_number().over(ids) > 1, "duplicate id")))
+
+
+def checked(rows: DataFrame) -> DataFrame:
+    """ruled(rows), with an error also where an earlier line has the same id."""
+    ids = Window.partitionBy("id_kind", "id").orderBy("line_no")
+    return ruled(rows).withColumn("error", F.coalesce("error", F.when(F.row_number().over(ids) > 1, "duplicate id")))
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
