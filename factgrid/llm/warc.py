@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, stored
 
 DATE = "2024-01-01T00:00:00Z"
 #: Pages (three records each) in an archive file, at most.
@@ -41,20 +41,34 @@ def _record(kind: str, record_id: Column, headers: list[tuple[str, Column]], bod
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Three records per page below `path`. Of equal payloads of at least min_bytes, the largest page_id's is the response."""
+    """Three records per row of pages below `path`. Of equal payloads of at least min_bytes, the largest page_id's is the response.
+
+    A capture's id is the page_id ('none' for null), a digest of the uri and the payload, and a number among equal rows,
+    which are counted and written as often. Rows that have both the payload and the page_id of the response are responses too.
+    """
     html = F.coalesce(F.col("html"), F.lit(""))
     uri = F.coalesce(F.regexp_replace("url", r"[\r\n]", ""), F.concat(F.lit("urn:page:"), F.col("page_id").cast("string")))
     keyed = pages.select("page_id", uri.alias("uri"), html.alias("html")).withColumns({"digest": base32_sha1(F.col("html")), "n": F.octet_length("html").cast("long")})
-    owner = keyed.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.max("page_id").alias("owner"))
-    p = keyed.join(owner, ["digest", "n"], "left").withColumn("revisit", F.coalesce(F.col("owner") != F.col("page_id"), F.lit(False)))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
-    name = lambda kind, of=page: F.concat(F.lit("urn:capture:"), of, F.lit(f":{kind}"))
+    mark = F.substring(F.sha1(F.concat(F.coalesce("uri", F.lit("")), F.lit("\n"), F.col("digest"), F.lit(":"), F.col("n").cast("string")).cast("binary")), 1, 32)
+    keyed = keyed.withColumn("capture", F.concat(page, F.lit(":"), mark))
+    heads = stored(keyed.select("page_id", "capture", "digest", "n"), "heads")
+    again = stored(heads.groupBy("capture").agg(F.count("*").alias("rows")).where("rows > 1").select("capture"), "again")
+    numbered = keyed.withColumn("number", F.lit(1))
+    if not again.isEmpty():  # equal rows meet in a hash aggregate, with a partial one before the shuffle
+        equal = keyed.join(again, "capture", "left_semi").groupBy(keyed.columns).agg(F.count("*").cast("int").alias("rows"))
+        equal = equal.withColumn("number", F.explode(F.sequence(F.lit(1), F.col("rows")))).drop("rows")
+        numbered = numbered.join(again, "capture", "left_anti").unionByName(equal)
+    owner = heads.where((F.col("n") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("digest", "n").agg(F.max(F.struct("page_id", "capture")).alias("owner"))
+    p = numbered.join(owner, ["digest", "n"], "left").withColumn("revisit", F.col("owner").isNotNull() & ~F.col("owner.page_id").eqNullSafe(F.col("page_id")))
+    own = F.concat("capture", F.lit(":"), F.col("number").cast("string"))
+    name = lambda kind, of=own: F.concat(F.lit("urn:capture:"), of, F.lit(f":{kind}"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit("\r\n\r\n"))
     angle = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
     digest, of = F.concat(F.lit("sha1:"), F.col("digest")), angle(name("main"))
     request = _record("request", name("request"), [("WARC-Target-URI", F.col("uri")), ("WARC-Concurrent-To", of), ("Content-Type", F.lit("application/http;msgtype=request"))], F.lit("GET / HTTP/1.1\r\n\r\n"))
     shared = [("WARC-Target-URI", F.col("uri")), ("WARC-Payload-Digest", digest), ("Content-Type", F.lit("application/http;msgtype=response"))]
-    main = F.when(F.col("revisit"), _record("revisit", name("main"), [*shared, ("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", angle(name("main", F.col("owner").cast("string"))))], http)).otherwise(
+    main = F.when(F.col("revisit"), _record("revisit", name("main"), [*shared, ("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", angle(name("main", F.concat(F.col("owner.capture"), F.lit(":1")))))], http)).otherwise(
         _record("response", name("main"), shared, F.concat(http, F.col("html")))
     )
     about = F.concat(F.coalesce(F.concat(F.lit("pageId: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit("")), F.lit("payloadBytes: "), F.col("n").cast("string"), F.lit("\r\n"))
@@ -157,13 +171,13 @@ def captures(records: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, min_bytes: int = 0, path: str | None = None) -> DataFrame:
     """Writes the pages as archives, reads them, and returns page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    A null html is an empty payload; a null url becomes urn:page:<page_id>. page_id must be unique
-    (repeated ones become one capture; null ones one capture with a null page_id). An empty table gives no rows. Other columns are ignored.
+    A null html is an empty payload; a null url becomes urn:page:<page_id>. Each row of
+    pages gives one row, also where page_id is null or repeated; a row of null page_id is a revisit where its payload is a page's with an id. An empty table gives no rows. Other columns are ignored.
     """
     path = path or f"{shared_dir(pages.sparkSession)}/warc"
     write_archives(pages, path, min_bytes)
     c = captures(read_records(pages.sparkSession, path, with_payload=False))
     return c.select(
         F.col("metadata.page_id").alias("page_id"), F.coalesce("main.payload_bytes", "metadata.payload_bytes").alias("payload_bytes"), F.col("main.digest").alias("payload_digest"),
-        F.col("main.type").alias("record_type"), F.expr("cast(split(main.refers_to, ':')[2] as bigint)").alias("refers_to"),
+        F.col("main.type").alias("record_type"), F.expr("try_cast(split(main.refers_to, ':')[2] as bigint)").alias("refers_to"),
     )

@@ -124,6 +124,20 @@ def test_archives(spark):
     assert rows(warc.round_trip(df), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == brute.archived([(i, h) for i, _, h in pages])
 
 
+def test_archives_repeated_ids(spark):
+    """Null and repeated page_ids: a capture and a result for every row."""
+    pages = [(1, "http://a/", "a"), (1, "http://a/", "b"), (1, "http://b/", "b"), (2, "http://c/", "c"), (2, "http://c/", "c"), (2, "http://c/", "c"), (3, "http://d/", "b")]
+    pages += [(None, None, "n"), (None, None, "n"), (None, None, None), (None, "http://e/", "m"), (None, "http://e/", "c")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = warc.round_trip(df).collect()
+    assert len(got) == len(pages)
+    key = lambda i, n, d: (i or 0, n, d)
+    digest = {h: brute.archived([(0, h)])[0][2] for _, _, h in pages}
+    assert sorted(key(r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in got) == sorted(key(i, len(h or ""), digest[h]) for i, _, h in pages)
+    refers = sorted((r["page_id"] or 0, r["refers_to"]) for r in got if r["record_type"] == "revisit")
+    assert refers == [(0, 2), (1, 3), (1, 3)]
+
+
 def test_learned(spark):
     r = random.Random(0)
     good = lambda: " ".join(r.choice(["the", "and", "house", "river", "green"]) for _ in range(60))
