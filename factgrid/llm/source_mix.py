@@ -1,6 +1,6 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Each source's documents are dealt into permuted blocks by a hash of their id. A source's target, as a
+Each source's documents are dealt into permuted blocks by a hash of their id and text. A source's target, as a
 number of block draws (whole passes over its blocks, then part of a pass), is its exact quota. The
 tree halves the output shards level by level: of a node's draws, a uniformly random subset of fixed
 size goes to the left half, so the counts by source are a multivariate-hypergeometric sample and
@@ -31,11 +31,15 @@ MAX_BLOCKS = 16_384
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def key(seed: int = 0) -> Column:
+    """A hash of a document's id and text; null ids and repeated ones spread by their texts."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")), F.lit(seed))
+
+
 def sized(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """doc_id, source, size (words), h (32-bit hash of the id)."""
+    """doc_id, source, size (words), key."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    digits = F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")), 1, 8)
-    return docs.select("doc_id", "source", size.alias("size"), F.conv(digits, 16, 10).cast("long").alias("h"))
+    return docs.select("doc_id", "source", size.alias("size"), key(seed).alias("key"))
 
 
 def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple = WEIGHTS) -> DataFrame:
@@ -61,8 +65,8 @@ def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights:
 
 
 def _located(sizes: DataFrame, p: DataFrame) -> DataFrame:
-    """The documents with their source's row of p, and c1 and c2, the coarse cell of their hash and the finer one within it."""
-    joined = sizes.withColumnRenamed("source", "s").join(p, F.col("s").eqNullSafe(F.col("source"))).drop("s")
+    """The documents with their source's row of p, h (the key's leading 32 bits), and c1 and c2, the coarse cell of h and the finer one within it."""
+    joined = sizes.withColumn("h", F.shiftrightunsigned("key", 32)).withColumnRenamed("source", "s").join(p, F.col("s").eqNullSafe(F.col("source"))).drop("s")
     fine = F.expr("shiftright(h, cast(32 - b1 - b2 as int)) & (shiftleft(1L, cast(b2 as int)) - 1)")
     return joined.withColumns({"c1": F.expr("shiftright(h, cast(32 - b1 as int))"), "c2": fine})
 
@@ -76,7 +80,8 @@ def _cut(located: DataFrame, cell: str, taken: Column) -> DataFrame:
 
 
 def plan(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple = WEIGHTS) -> DataFrame:
-    """Per source: target, passes (whole ones), cut_c1 and cut_c2 (cells where the part pass ends) and extra (ids taken in that cell).
+    """Per source: target, passes (whole ones), cut_c1 and cut_c2 (cells where the part pass ends), extra (keys taken in that cell),
+    blocks (that its documents are dealt into) and draws (whole passes over them and the blocks of the part pass: its exact quota).
 
     Every cell before the cut is drawn. Within the cut's finer cell, documents are taken in the order of their hash
     if they fit, then one more if that comes nearer: the sum misses the target by less than the smallest document left there.
@@ -84,30 +89,55 @@ def plan(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights: tu
     b = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n_docs") / F.lit(CELL))).cast("int"))
     t = targets(sizes, share, most, weights).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     t = t.withColumns({"rest": F.col("target") - F.col("passes") * F.col("source_size"), "b1": F.least(b, F.lit(BITS)), "b2": F.least(F.greatest(b - BITS, F.lit(0)), F.lit(BITS))})
-    p = stored(t.drop("n_docs"), "targets")
+    share_of = F.floor(F.col("source_size") * MAX_BLOCKS / F.greatest(F.lit(1), F.sum("source_size").over(Window.partitionBy())))
+    p = stored(t.withColumn("blocks", F.greatest(F.lit(1), F.least("n_docs", share_of)).cast("int")).drop("n_docs"), "targets")
     p = stored(p.join(_cut(_located(sizes, p), "c1", F.lit(0)), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "coarse")
     inside = _located(sizes, p).where(F.col("c1") == F.col("cut_c1"))
     p = stored(p.join(_cut(inside, "c2", F.col("before_c1")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "fine")
     last = _located(sizes, p).where((F.col("c1") == F.col("cut_c1")) & (F.col("c2") == F.col("cut_c2")))
-    docs = F.array_sort(F.collect_list(F.struct("h", "doc_id", "size")))  # a finer cell's, about CELL
+    last = last.groupBy("source", "key", "rest", "before_c2").agg(F.sum("size").alias("size"))  # equal rows are one
+    docs = F.array_sort(F.collect_list(F.struct("key", "size")))  # a finer cell's, about CELL
     fits = F.aggregate(
-        "docs", F.struct("room", F.array().cast("array<bigint>").alias("ids")),
-        lambda acc, x: F.when(x["size"] <= acc["room"], F.struct((acc["room"] - x["size"]).alias("room"), F.concat(acc["ids"], F.array(x["doc_id"])).alias("ids"))).otherwise(acc),
+        "docs", F.struct("room", F.array().cast("array<bigint>").alias("keys")),
+        lambda acc, x: F.when(x["size"] <= acc["room"], F.struct((acc["room"] - x["size"]).alias("room"), F.concat(acc["keys"], F.array(x["key"])).alias("keys"))).otherwise(acc),
     )
     cell = last.groupBy(F.col("source").alias("s")).agg(docs.alias("docs"), (F.first("rest") - F.first("before_c2")).alias("room")).withColumn("fits", fits)
-    over = F.array_min(F.transform(F.filter("docs", lambda x: ~F.array_contains("fits.ids", x["doc_id"])), lambda x: F.struct(F.abs(x["size"] - F.col("fits.room")).alias("off"), x["doc_id"].alias("doc_id"))))
-    extra = cell.withColumn("over", over).select("s", F.when(F.col("over.off") < F.col("fits.room"), F.concat("fits.ids", F.array("over.doc_id"))).otherwise(F.col("fits.ids")).alias("extra"))
-    return stored(p.join(extra, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "before_c1", "before_c2"), "plan")
+    over = F.array_min(F.transform(F.filter("docs", lambda x: ~F.array_contains("fits.keys", x["key"])), lambda x: F.struct(F.abs(x["size"] - F.col("fits.room")).alias("off"), x["key"].alias("key"))))
+    extra = cell.withColumn("over", over).select("s", F.when(F.col("over.off") < F.col("fits.room"), F.concat("fits.keys", F.array("over.key"))).otherwise(F.col("fits.keys")).alias("extra"))
+    p = p.join(extra, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "before_c1", "before_c2")
+    before = F.expr("shiftleft(cut_c1, cast(32 - b1 as int)) + shiftleft(cut_c2, cast(32 - b1 - b2 as int)) - 1")
+    last_h = F.greatest(before, F.array_max(F.transform("extra", lambda k: F.shiftrightunsigned(k, 32))))  # of the part pass; without a cut it's empty
+    return stored(p.withColumn("draws", (F.col("passes") * F.col("blocks") + F.coalesce(block(last_h) + 1, F.lit(0))).cast("int")), "plan")
 
 
-def assigned(docs: DataFrame, seed: int = 0, **kinds) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, copies of each document, and h. See `mix` for the shards."""
-    sizes = stored(sized(docs, seed), "sizes")
-    d = _located(sizes, plan(sizes, **kinds))
+def block(h: Column) -> Column:
+    return F.floor(h / F.lit(float(1 << 32)) * F.col("blocks")).cast("int")
+
+
+def dealt(sizes: DataFrame, shards: int = SHARDS, seed: int = 0, **kinds) -> DataFrame:
+    """The plan with shard_of, the shard of each of a source's draws in their order."""
+    p = plan(sizes, **kinds)
+    leaves = tree(p.where("draws > 0").select("source", "blocks", "draws"), shards, seed)
+    by = leaves.groupBy(F.col("source").alias("s")).agg(F.map_from_entries(F.collect_list(F.struct("draw", "shard"))).alias("m"))
+    p = p.join(by, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    return stored(p.select("*", F.when(F.col("draws") > 0, F.transform(F.sequence(F.lit(0), F.col("draws") - 1), lambda k: F.element_at("m", k))).alias("shard_of")).drop("m"), "dealt")
+
+
+def _drawn(docs: DataFrame, p: DataFrame) -> DataFrame:
+    """docs (with source and key), their source's row of p, and in, the shard of each copy of the document that is drawn."""
+    d = _located(docs, p)
     c1, cut1, c2, cut2 = (F.col(x) for x in ("c1", "cut_c1", "c2", "cut_c2"))
-    drawn = (c1 < cut1) | ((c1 == cut1) & ((c2 < cut2) | ((c2 == cut2) & F.array_contains("extra", F.col("doc_id")))))
-    n = F.col("passes") + F.coalesce(drawn, F.lit(False)).cast("int")  # without a cut the part pass is empty
-    return d.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * n).cast("long").alias("taken"), n.cast("int").alias("copies"), "h")
+    part = (c1 < cut1) | ((c1 == cut1) & ((c2 < cut2) | ((c2 == cut2) & F.array_contains("extra", F.col("key")))))
+    n = F.col("passes") + F.coalesce(part, F.lit(False)).cast("int")  # without a cut the part pass is empty
+    own = F.transform(F.slice(F.sequence(F.lit(0), F.col("passes").cast("int")), F.lit(1), n.cast("int")), lambda c: F.get("shard_of", F.col("block") + c * F.col("blocks")))
+    return d.withColumn("block", block(F.col("h"))).withColumn("in", F.filter(F.coalesce(own, F.array().cast("array<int>")), lambda x: x.isNotNull()))
+
+
+def assigned(docs: DataFrame, seed: int = 0, shards: int = SHARDS, **kinds) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, copies of each document, in (the shard of each copy), block and key."""
+    sizes = stored(sized(docs, seed), "sizes")
+    d = _drawn(sizes, dealt(sizes, shards, seed, **kinds))
+    return d.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.size("in")).cast("long").alias("taken"), F.size("in").alias("copies"), "in", "block", "key")
 
 
 def tree(quotas: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
@@ -132,37 +162,35 @@ def tree(quotas: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     return node.withColumn("end", end).select("source", F.col("node").alias("shard"), F.explode(F.sequence((F.col("end") - F.col("n")).cast("int"), (F.col("end") - 1).cast("int"))).alias("draw"))
 
 
-def blocks_of(assignment: DataFrame) -> DataFrame:
-    """(source, blocks): each source's share of MAX_BLOCKS by its size, one at least."""
-    by = assignment.groupBy("source").agg(F.sum("size").alias("words"), F.max("copies").alias("top"))
-    return by.withColumn("blocks", F.greatest(F.lit(1), F.floor(F.col("words") * MAX_BLOCKS / F.greatest(F.lit(1), F.sum("words").over(Window.partitionBy())))).cast("int"))
-
-
 def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 0, **kinds) -> DataFrame:
     """The mix itself, a row per taken copy: doc_id, source, size, copy, shard, place (order within the shard)."""
-    a = assigned(docs, seed, **kinds)
-    blocks = stored(blocks_of(a), "blocks")
-    draws = tree(blocks.where("top > 0").select("source", "blocks", (F.col("blocks") * F.col("top")).alias("draws")), shards, seed)
-    copies = a.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    b = blocks.select(F.col("source").alias("s"), "blocks")
-    placed = copies.join(b, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    placed = placed.withColumn("d", F.floor(F.col("h") / F.lit(float(1 << 32)) * F.col("blocks")).cast("int") + F.col("copy") * F.col("blocks"))
-    d = draws.select(F.col("source").alias("s"), "draw", "shard")
-    out = placed.join(d, F.col("source").eqNullSafe(F.col("s")) & (F.col("d") == F.col("draw")))
-    return out.select("doc_id", "source", "size", "copy", "shard", F.xxhash64("doc_id", "copy", F.lit(seed)).alias("place"))
-
-
-def write_shards(mixed: DataFrame, docs: DataFrame, path: str) -> None:
+    a = assigned(docs, seed, shards, **kinds).select("doc_id", "source", "size", "key", F.posexplode("in").alias("copy", "shard"))
+    return a.select("doc_id", "source", "size", "copy", "shard", F.xxhash64("key", "copy", F.lit(seed)).alias("place"))
+
+
+def mixed_rows(docs: DataFrame, shards: int = SHARDS, seed: int = 0, **kinds) -> DataFrame:
+    """The documents' rows with all their columns, once for each taken copy, with copy, shard and place; a row is never joined by its id."""
+    p = dealt(stored(sized(docs, seed), "sizes"), shards, seed, **kinds)
+    d = _drawn(docs.select(F.struct("*").alias("row"), "source", key(seed).alias("key")), p)
+    d = d.select("row", "key", F.posexplode("in").alias("copy", "shard"))
+    return d.select("row.*", "copy", "shard", F.xxhash64("key", "copy", F.lit(seed)).alias("place"))
+
+
+def shuffled(mixed: DataFrame) -> DataFrame:
+    """mixed_rows in the order of the shards, shuffled within each."""
+    return mixed.repartition("shard", F.pmod("place", F.lit(64))).sortWithinPartitions("shard", "place")
+
+
+def write_shards(docs: DataFrame, path: str, **kinds) -> None:
     """The taken copies with their texts, a folder per shard, shuffled within it."""
-    joined = mixed.select("doc_id", "copy", "shard", "place").join(docs, "doc_id")
-    joined.repartition("shard", F.pmod("place", F.lit(64))).sortWithinPartitions("shard", "place").write.partitionBy("shard").parquet(path)
+    shuffled(mixed_rows(docs, **kinds)).write.partitionBy("shard").parquet(path)
 
 
 def source_mix(docs: DataFrame, seed: int = 0, **kinds) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document, drawn or not.
 
     size is the number of words, 0 for a null text; a null source is a source of its own, ordered last.
-    Rows with the same doc_id are drawn together. Equal seeds and tables give equal results. An empty
+    taken counts the copies in the blocks that the tree deals to shards. Rows equal in doc_id and text are drawn together. Equal seeds and tables give equal results. An empty
     table gives an empty result; documents without words take nothing. Other columns are ignored.
     """
     return assigned(docs, seed, **kinds).select("doc_id", "size", "source_size", "target", "taken", "copies")

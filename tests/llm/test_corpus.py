@@ -3,6 +3,7 @@
 import os
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -93,6 +94,29 @@ def test_mix(docs):
     assert mixed.count() == sum(r["copies"] for r in got)
 
 
+def odd_ids(spark):
+    """Null and repeated doc_ids, with equal and with different texts."""
+    r = random.Random(5)
+    rows_ = [(None if i % 3 == 0 else i // 2, " ".join(f"w{r.randrange(500)}" for _ in range(r.randint(0, 40))), f"s{i % 2}") for i in range(900)]
+    rows_ += [(7, "equal rows", "s0")] * 3 + [(None, "no id", "s1")] * 3 + [(None, "one id", "s1"), (5000, "one id", "s1"), (None, "alone", None)]
+    return rows_, spark.createDataFrame(rows_, "doc_id long, text string, source string").repartition(3)
+
+
+def test_mix_tree(spark):
+    """What op8 takes is what the tree deals: exact quotas of blocks, disjoint shards, and nothing beside it."""
+    given, df = odd_ids(spark)
+    sizes = source_mix.sized(df)
+    for p in source_mix.dealt(sizes, shards=5).collect():
+        assert len(p["shard_of"] or []) == p["draws"] and None not in (p["shard_of"] or []) and p["passes"] * p["blocks"] <= p["draws"] <= (p["passes"] + 1) * p["blocks"]
+    seen, top = {}, Counter()
+    for r in source_mix.assigned(df, shards=5).collect():
+        for c, shard in enumerate(r["in"]):
+            assert seen.setdefault((r["source"], r["block"], c), shard) == shard
+            top[shard] += 1
+        assert r["taken"] == r["size"] * len(r["in"])
+    assert set(top) == set(range(5))
+
+
 def test_pack(docs):
     from tokenizers import Tokenizer
 
