@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from factgrid.llm import exact_dedup, jaccard_join, packing, quality_fm, source_mix
 from factgrid.llm.common import stored, table
@@ -32,9 +31,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document comes as often as the mix takes it; one that the mix doesn't take goes."""
-    copies = source_mix.source_mix(docs).where("copies > 0").select("doc_id", "copies")
-    taken = docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return taken.select(docs.columns)
+    return source_mix.shuffled(source_mix.mixed_rows(docs)).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

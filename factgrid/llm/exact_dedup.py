@@ -83,6 +83,15 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
+    """The documents that stay, with all their columns: for each distinct text one row, of its largest doc_id, null only where all are.
+
+    Of rows equal in text and doc_id the first by the other columns stays; all but one of them go before the shuffle.
+    """
     index = write_index(docs, shared_dir(docs.sparkSession))
-    return docs.join(index.select(F.col("keep_id").alias("doc_id")), "doc_id", "left_semi").select(docs.columns)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    own = {"_no_id": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id"), F.lit(0).cast("long")), "_key": F.xxhash64(text), "_sha256": F.sha2(text.cast("binary"), 256)}
+    others = [f.name for f in docs.schema if f.name not in ("doc_id", "text") and f.dataType.typeName() not in ("map", "variant")]
+    rank = F.row_number().over(Window.partitionBy(*own).orderBy(F.col("text").isNull(), *others))  # with a limit of 1 in each task
+    once = docs.withColumns(own).withColumn("_rank", rank).where("_rank = 1")
+    stay = index.select(F.col("keep_id").isNull().alias("_no_id"), F.coalesce("keep_id", F.lit(0).cast("long")).alias("_id"), F.col("key").alias("_key"), F.col("text_sha256").alias("_sha256"))
+    return once.join(stay, list(own), "left_semi").select(docs.columns)

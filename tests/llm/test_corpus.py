@@ -102,6 +102,35 @@ def odd_ids(spark):
     return rows_, spark.createDataFrame(rows_, "doc_id long, text string, source string").repartition(3)
 
 
+def test_keep_one_odd_ids(spark):
+    """Each distinct text stays once, by its largest doc_id."""
+    given, df = odd_ids(spark)
+    want = {}
+    for i, t, _ in given:
+        want[t] = max(want.get(t, -1), -1 if i is None else i)
+    assert sorted((r["text"], -1 if r["doc_id"] is None else r["doc_id"]) for r in exact_dedup.keep_one(df).collect()) == sorted(want.items())
+
+
+def test_mix_stage_odd_ids(spark):
+    """The mix stage gives each row its own copies and meets the targets."""
+    import corpus_pipeline
+
+    given, df = odd_ids(spark)
+    a = source_mix.source_mix(df).collect()
+    assert len(a) == len(given)
+    got, sizes, size = Counter(), Counter(), lambda t: len(brute.words(t))
+    for _, t, s in given:
+        sizes[s] += size(t)
+    out = corpus_pipeline.mix(spark, df, "").collect()
+    assert len(out) == sum(r["copies"] for r in a) and set(map(tuple, out)) <= set(given)
+    for r in out:
+        got[r["source"]] += size(r["text"])
+    for s, target in brute.targets(dict(sizes)).items():
+        assert abs(got[s] - target) <= 40
+    many = Counter(given)
+    assert all(n <= 2 * many[row] for row, n in Counter(map(tuple, out)).items())
+
+
 def test_mix_tree(spark):
     """What op8 takes is what the tree deals: exact quotas of blocks, disjoint shards, and nothing beside it."""
     given, df = odd_ids(spark)
