@@ -21,9 +21,10 @@ from .common import chunks
 
 WORD_BITS = 15
 FACTORS = 8
-#: Labelled rows that the model is fitted on, at most, and hashed words of one of them.
+#: Labelled rows that the model is fitted on, at most; all distinct hashed words of them count.
 MOST_ROWS = 6_000
-MOST_WORDS = 400
+#: Features that a step of the fit looks at together; a batch of rows with more is summed up in parts.
+MOST_TOGETHER = 200_000
 #: Words whose feature a Python worker keeps; beyond that it forgets them all.
 MOST_KNOWN = 300_000
 STEPS = 12
@@ -113,20 +114,27 @@ def fit(hashed: list[np.ndarray], stats: np.ndarray, y: np.ndarray, steps: int =
         order = rng.permutation(len(y))
         for at in range(0, len(y), 256):
             rows = order[at : at + 256]
-            index, value, first = m.design([hashed[i] for i in rows], stats[rows])
-            z, s = m.margin(index, value, first)
-            e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) * weight[rows] / len(rows)
-            row = np.repeat(np.arange(len(rows)), np.diff([*first, len(index)]))
-            ex = e[row] * value
-            seen, where = np.unique(index, return_inverse=True)
-            dw = np.bincount(where, ex) + decay * m.w[seen]
-            dv = np.stack([np.bincount(where, ex * (s[row, f] - m.v[index, f] * value)) for f in range(FACTORS)], 1) + decay * m.v[seen]
+            dw, dv, many, e_sum = np.zeros(n), np.zeros((n, FACTORS)), np.zeros(n, np.int64), 0.0
+            sizes = np.cumsum([len(hashed[i]) + len(edges) for i in rows])
+            for part in np.split(rows, np.flatnonzero(np.diff(sizes // MOST_TOGETHER)) + 1):
+                index, value, first = m.design([hashed[i] for i in part], stats[part])
+                z, s = m.margin(index, value, first)
+                e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) * weight[part] / len(rows)
+                row = np.repeat(np.arange(len(part)), np.diff([*first, len(index)]))
+                ex = e[row] * value
+                many += np.bincount(index, minlength=n)
+                dw += np.bincount(index, ex, n)
+                for f in range(FACTORS):
+                    dv[:, f] += np.bincount(index, ex * (s[row, f] - m.v[index, f] * value), n)
+                e_sum += e.sum()
+            seen = np.flatnonzero(many)
+            dw, dv = dw[seen] + decay * m.w[seen], dv[seen] + decay * m.v[seen]
             gw[seen] += dw**2
             gv[seen] += dv**2
-            g0 += e.sum() ** 2
+            g0 += e_sum**2
             m.w[seen] -= rate * dw / np.sqrt(gw[seen])
             m.v[seen] -= rate * dv / np.sqrt(gv[seen])
-            m.w0 -= rate * e.sum() / np.sqrt(g0)
+            m.w0 -= rate * e_sum / np.sqrt(g0)
     assert n == len(m.w)
     return m
 
@@ -146,19 +154,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows:
     own = own.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     sample = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     rows = _inputs(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "bytes", "n_chars", "y")  # at most most_rows rows
-    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("words", pa.list_(pa.int64())), ("stats", pa.list_(pa.float64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("words", pa.list_(pa.int16())), ("stats", pa.list_(pa.float64()))])
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for part, texts in chunks(batches):
             hashed, stats = features(texts, part.column(2).to_pylist(), known)
-            # spread over the whole text, by hash, where there are more than a sample row may have
-            short = [h if len(h) <= MOST_WORDS else np.sort(h[np.argsort((h * 2654435761) & 0xFFFF, kind="stable")[:MOST_WORDS]]) for h in hashed]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array(short, pa.list_(pa.int64())), pa.array(list(stats), pa.list_(pa.float64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array([h.astype(np.int16) for h in hashed], pa.list_(pa.int16())), pa.array(list(stats), pa.list_(pa.float64()))], schema=schema)
 
-    got: pd.DataFrame = rows.mapInArrow(describe, "doc_id long, y int, words array<long>, stats array<double>").orderBy("doc_id").toPandas()
+    got: pd.DataFrame = rows.mapInArrow(describe, "doc_id long, y int, words array<smallint>, stats array<double>").orderBy("doc_id").toPandas()
     stats = np.array(got["stats"].tolist()).reshape(-1, len(STATISTICS))
-    return fit([np.asarray(x, np.int64) for x in got["words"]], stats, got["y"].to_numpy(float))
+    return fit([np.asarray(x, np.int16) for x in got["words"]], stats, got["y"].to_numpy(float))
 
 
 def quality(docs: DataFrame, labels: DataFrame, machine: Machine | None = None) -> DataFrame:

@@ -206,6 +206,21 @@ def test_learned(spark):
     assert lang[200] == lang[201] == "und" and lang[1] == "en"
 
 
+def test_learned_from_whole_texts(spark, monkeypatch):
+    """All distinct words of long labelled texts get weights, and a batch summed up in parts gives the same machine."""
+    r = random.Random(2)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    data = [(i, " ".join(r.sample(vocabulary, 2000))) for i in range(12)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in data], "doc_id long, quality int")
+    whole = quality_fm.train(df, labels)
+    own = [i for i, _ in data if zlib.crc32(str(i).encode()) % 3 != 1]
+    words = {zlib.crc32(w.encode()) & 32767 for i, t in data if i in own for w in t.split()}
+    assert set(np.flatnonzero(whole.w[:32768]).tolist()) == words
+    monkeypatch.setattr(quality_fm, "MOST_TOGETHER", 3000)
+    assert np.allclose(quality_fm.train(df, labels).w, whole.w)
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string, lang string")
     for f in (exact_dedup.exact_dedup, substring_dedup.substring_dedup, jaccard_join.near_documents, secret_scan.secret_scan, source_mix.source_mix, language_id.language):
