@@ -1,27 +1,32 @@
 """Exact deduplication over an extendible-hash index on shared files.
 
-The index has one entry for each distinct text. Its directory starts with one bucket over the whole
-key range and doubles, one more leading bit of the 64-bit key at a time, until no bucket holds more
-than `capacity` keys; a bucket that fits keeps its shallower local depth and is shared by several
-directory cells. Owner tasks take contiguous key ranges and write them as sorted files; texts of
-equal keys but different bytes are chained within their bucket.
-
-Only DataFrame functions are used. Equal texts meet in a hash aggregate whose keys are the text's
-bytes, with a partial aggregate before the shuffle: a text that a third of all rows hold reaches the
-owner once from each map task.
+The index has one entry for each distinct text. Its directory starts with one bucket over the whole range of 64-bit keys and
+doubles, one more leading bit at a time, until no bucket holds more than `capacity` keys; a bucket that fits keeps its
+shallower local depth and is shared by several directory cells. Keys are counted before any text moves.
+
+Then each row goes to the task that owns its bucket, a contiguous range of keys. The owner chains the texts of a key that differ
+in bytes, and finds of each text's copies which stays and how many there are. A key with very many rows is hot: its copies are
+combined in the tasks that read them, so that its owner gets one row from each.
+
+Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import shared_dir
 
-CAPACITY = 65_536
-#: The directory has at most 2 ** MAX_DEPTH cells, so it can be broadcast at any input size.
-MAX_DEPTH = 12
+#: Keys of a bucket.
+CAPACITY = 1_024
+#: The directory has at most 2 ** MAX_DEPTH cells, so it can be broadcast at any input size; beyond 2 ** MAX_DEPTH * CAPACITY keys buckets grow.
+MAX_DEPTH = 20
+#: A key is hot from so many rows on, or from this share of all rows on where that is more: at most 1 / HOT_SHARE keys are.
+HOT_ROWS, HOT_SHARE = 1_000, 1e-5
 
 
 def with_key(docs: DataFrame) -> DataFrame:
@@ -29,14 +34,13 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("key"))
 
 
-def cell(key: str, depth: int = MAX_DEPTH):
+def cell(key: str, depth: int = MAX_DEPTH) -> Column:
     """The leading bits of the key."""
-    return F.shiftrightunsigned(F.col(key), 64 - depth)
+    return F.shiftrightunsigned(F.col(key), 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(cell, bucket, local_depth) for each cell of the fully doubled directory; keys: one row per distinct key."""
-    cells = keys.groupBy(cell("key", max_depth).alias("cell")).agg(F.count("*").alias("n"))
+def directory(cells: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(cell, bucket, local_depth) for each cell of the fully doubled directory; cells: (cell, n), the keys of each that has any."""
     levels = (
         cells.select(F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth"), "cell", "n")
         .groupBy("depth", F.expr(f"shiftright(cell, {max_depth} - depth)").alias("prefix"))
@@ -50,32 +54,41 @@ def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DE
     return leaves.select(first.alias("bucket"), F.col("depth").alias("local_depth"), F.explode(F.sequence(first, last)).alias("cell"))
 
 
-def write_index(docs: DataFrame, path: str, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+def write_index(docs: DataFrame, path: str, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The index as files under `path`, an entry per distinct text: bucket, local_depth, key, chain, text_sha256, keep_id, group_size."""
-    spark = docs.sparkSession
-    entries = with_key(docs).groupBy("key", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    entries.select("key", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size").write.parquet(f"{path}/entries")
-    entries = spark.read.parquet(f"{path}/entries")
-    directory(entries.select("key").distinct(), capacity, max_depth).write.parquet(f"{path}/directory")
-    cells = F.broadcast(spark.read.parquet(f"{path}/directory"))  # at most 2 ** max_depth rows
+    spark, keyed = docs.sparkSession, with_key(docs)
+    keyed.groupBy("key").agg(F.count("*").alias("n")).write.parquet(f"{path}/keys")
+    keys = spark.read.parquet(f"{path}/keys")
+    keys.groupBy(cell("key", max_depth).alias("cell")).agg(F.count("*").alias("n"), F.sum("n").alias("rows")).write.parquet(f"{path}/cells")
+    cells = spark.read.parquet(f"{path}/cells")
+    n, rows = cells.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    depth = min(max_depth, math.ceil(math.log2(max(1, n / capacity))) + 3)  # keys spread evenly, so that no bucket splits much further
+    cells = cells.groupBy(F.shiftright("cell", max_depth - depth).alias("cell")).agg(F.sum("n").alias("n"))
+    directory(cells, capacity, depth).write.parquet(f"{path}/directory")
+
+    owner = F.broadcast(spark.read.parquet(f"{path}/directory"))  # at most 2 ** max_depth rows
+    placed = keyed.withColumn("cell", cell("key", depth)).join(owner, "cell").select("bucket", "local_depth", "key", "text", "doc_id")
+    hot = F.broadcast(keys.where(F.col("n") > max(hot_rows, math.ceil(rows * HOT_SHARE))).select("key"))  # at most 1 / HOT_SHARE rows
+    entry = ["bucket", "local_depth", "key", "text"]
+    alone = placed.join(hot, "key", "left_anti").select(*entry, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    combined = placed.join(hot, "key", "left_semi").groupBy(*entry).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # from here on each bucket is in one task: equal bytes are one entry, others of the same key its chain
+    owned = alone.unionByName(combined).repartition("bucket").groupBy(*entry).agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    hashed = owned.select("bucket", "local_depth", "key", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
     chained = Window.partitionBy("bucket", "key").orderBy("text_sha256")
-    (
-        entries.withColumn("cell", cell("key", max_depth)).join(cells, "cell").drop("cell")
-        .repartitionByRange("bucket", "key").withColumn("chain", F.row_number().over(chained))
-        .write.parquet(f"{path}/index")
-    )
+    hashed.withColumn("chain", F.row_number().over(chained)).write.parquet(f"{path}/index")
     return spark.read.parquet(f"{path}/index")
 
 
-def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, bucket, local_depth, chain.
 
-    Texts are equal when their UTF-8 bytes are; null counts as empty. The largest doc_id of equal
+    Texts are equal when their UTF-8 bytes are; null counts as empty; texts of any length are compared whole. The largest doc_id of equal
     texts stays. Other columns are ignored. A doc_id on several rows gets a row for each, and all rows
     with the largest doc_id count as kept. An empty table gives an empty result; a null doc_id is
     never the one that stays unless all of its group are null (keep_id is then null, kept false).
     """
-    index = write_index(docs, shared_dir(docs.sparkSession), capacity, max_depth)
+    index = write_index(docs, shared_dir(docs.sparkSession), capacity, max_depth, hot_rows)
     keys = with_key(docs).select("doc_id", "key", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
     return keys.join(index, ["key", "text_sha256"]).select(
         "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256", "bucket", "local_depth", "chain",
