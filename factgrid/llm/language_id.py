@@ -3,32 +3,33 @@
 A model sees each word's letters between boundary marks. Spark counts the highest-order n-grams of a
 bounded sample of labelled documents by language; the driver turns the counts, which the sample
 bounds, into discounted probabilities and back-off weights in sorted hash arrays. A text gets the
-language of the lowest cross-entropy per character; a temperature fitted on rows set apart makes the
-scores probabilities, below which a caller may reject.
+language of the lowest cross-entropy per character. Rows set apart from the sample calibrate the rest: a temperature that makes the
+scores probabilities, the least score to be trusted, and for each language the cross-entropy above which a text is none of it.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import chunks, stored, text_bytes
 
 ORDER = 4
 DISCOUNT = 0.75
-#: Documents of each language in the sample, at most; a tenth of them is set apart for the temperature.
+#: Documents of each language in the sample, about (those whose hash falls into that share of the language); a tenth of them is set apart.
 MOST_ROWS = 600
+#: Of the rows set apart that aren't rejected by their score, so many are right; of those that are right, so many aren't rejected by their entropy.
+TRUST, LEFT_ALONE = 0.995, 0.99
 #: Words whose scores a Python worker keeps; beyond that it forgets them all.
 MOST_KNOWN = 200_000
 UNKNOWN = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,6 +60,7 @@ class Model:
 
     def __init__(self, langs: list[str], grams: dict[str, Counter], order: int = ORDER, discount: float = DISCOUNT):
         self.langs, self.order, self.beta = langs, order, 1.0
+        self.least, self.highest = 0.0, np.full(len(langs), np.inf)  # score below which, and entropy above which, a text is rejected
         tables: list[list[dict[str, float]]] = []
         alphabet = {c for by in grams.values() for g in by for c in g}
         self.base = 1.0 / max(1, len(alphabet) + 1)
@@ -154,22 +156,54 @@ class Scorer:
                 out[k] = self.cost[r].sum(0) / n[k]
         return out, n
 
-    def predict(self, texts: list[bytes], reject_below: float = 0.0) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, scores, and which are rejected; a text without letters has no language, score 0, and is rejected."""
         h, n = self.entropies(texts)
-        z = np.exp(-self.model.beta * (h - h.min(1, keepdims=True)))
-        p = z / z.sum(1, keepdims=True)
         best = h.argmin(1)
-        score = np.where(n > 0, p[np.arange(len(texts)), best], 0.0)
-        return [self.model.langs[b] if k and s >= reject_below else UNKNOWN for b, k, s in zip(best, n, score)], score
+        row = np.arange(len(texts))
+        score = np.where(n > 0, probabilities(h, self.model.beta)[row, best], 0.0)
+        rejected = (n == 0) | (score < self.model.least) | (h[row, best] > self.model.highest[best])
+        return [self.model.langs[b] if k else UNKNOWN for b, k in zip(best, n)], score, rejected
+
+
+def probabilities(h: np.ndarray, beta: float) -> np.ndarray:
+    z = np.exp(-beta * (h - h.min(1, keepdims=True)))
+    return z / z.sum(1, keepdims=True)
+
+
+def calibrate(model: Model, h: np.ndarray, right: np.ndarray) -> None:
+    """Fits beta, least and highest on entropies of rows of which the language is known.
+
+    The log loss is taken against (n + 1) / (n + 2) in place of 1, so that a sample without errors doesn't make every score 1.
+    """
+    if not len(h):
+        return
+    row, target = np.arange(len(h)), (len(h) + 1) / (len(h) + 2)
+
+    def loss(beta: float) -> float:
+        p = np.clip(probabilities(h, beta)[row, right], 1e-12, 1 - 1e-12)
+        return float(-(target * np.log(p) + (1 - target) * np.log(1 - p)).mean())
+
+    model.beta = float(min(np.geomspace(0.1, 200, 120), key=loss))
+    best = h.argmin(1)
+    score, good = probabilities(h, model.beta)[row, best], best == right
+    order = np.argsort(score)
+    wrong_from = np.cumsum(~good[order][::-1])[::-1]  # wrong ones among those from here on
+    trusted = np.flatnonzero(wrong_from <= (1 - TRUST) * (len(h) - np.arange(len(h))))
+    model.least = float(score[order[trusted[0]]]) if len(trusted) and trusted[0] else (0.0 if len(trusted) else 1.0)
+    for k in range(len(model.langs)):
+        own = h[good & (right == k), k]
+        if len(own) >= 10:
+            model.highest[k] = np.quantile(own, LEFT_ALONE)
 
 
 def train(docs: DataFrame, most_rows: int = MOST_ROWS, held_out: int = 0, parts: int = 5, order: int = ORDER) -> Model:
-    """Fitted on at most most_rows documents a language, picked by a hash of their id; ids whose crc32 mod parts is held_out are never read."""
-    own = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)) != held_out))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = stored(own.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= most_rows), "picked")
-    rows = docs.select("doc_id", text_bytes()).join(F.broadcast(picked), "doc_id").select("lang", "rank", "bytes")  # at most most_rows a language
-    rows = stored(rows, "sample")
+    """Fitted on about most_rows documents a language, picked by a hash of their id; ids whose crc32 mod parts is held_out are never read."""
+    own = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)) != held_out))
+    many = stored(own.groupBy("lang").agg(F.count("*").alias("n")), "languages")  # a row for each language
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.least(F.lit(1.0), F.lit(most_rows) / F.col("n")) * (1 << 30)
+    apart = (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(10)) == 0) & (F.col("n") >= 20)
+    rows = stored(own.join(F.broadcast(many), "lang").where(share).select("lang", apart.alias("apart"), text_bytes()), "sample")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, limit=8 << 20):
@@ -185,29 +219,32 @@ def train(docs: DataFrame, most_rows: int = MOST_ROWS, held_out: int = 0, parts:
                             grams[s[i : i + order]] += c
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["lang", "gram", "n"])
 
-    apart = (F.col("rank") % 10) == 0
-    counted = rows.where(~apart).mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = rows.where("not apart").select("lang", "apart", "bytes").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     grams: dict[str, Counter] = {}
     for lang, gram, n in counted.toPandas().itertuples(index=False):  # bounded by the sample
         grams.setdefault(lang, Counter())[gram] = n
-    langs = sorted(r["lang"] for r in picked.select("lang").distinct().collect())
+    langs = sorted(r["lang"] for r in many.select("lang").collect())
     model = Model(langs, {x: grams.get(x, Counter()) for x in langs}, order)
-    test = rows.where(apart).toPandas()
-    if len(test):
-        h, n = Scorer(model).entropies([bytes(x) for x in test["bytes"]])
-        right = np.array([langs.index(x) for x in test["lang"]])[n > 0]
-        gap = (h - h.min(1, keepdims=True))[n > 0]
-        loss = lambda b: (np.log(np.exp(-b * gap).sum(1)) + b * gap[np.arange(len(gap)), right]).mean()
-        model.beta = float(min(np.geomspace(0.5, 200, 60), key=loss)) if len(gap) else 1.0
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def entropies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for part, texts in chunks(batches):
+            h, n = scorer.entropies(texts)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(h), pa.list_(pa.float64())), pa.array(n)], names=["lang", "h", "n"])
+
+    test = rows.where("apart").mapInArrow(entropies, "lang string, h array<double>, n double").where("n > 0").toPandas()  # numbers of a tenth of the sample
+    calibrate(model, np.array(test["h"].tolist()).reshape(-1, max(1, len(langs))), np.array([langs.index(x) for x in test["lang"]], int))
     return model
 
 
-def language(docs: DataFrame, model: Model | None = None, reject_below: float = 0.0) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every document.
+def language(docs: DataFrame, model: Model | None = None, reject: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, rejected for every document.
 
-    lang_pred is a learned language, or `und` with score 0 where a text is null or has no letter, or where its
-    score is under reject_below. score is the calibrated probability of the language. Ties go to the first
-    language by name. Repeated rows get a row each; an empty table gives none; without labelled rows all are `und`.
+    lang_pred is a learned language, or `und` with score 0 where a text is null or has no letter (of Unicode's category L) and, if
+    `reject` is asked for, where the calibrated rejection holds. score is the calibrated probability of the language. Texts of any length are
+    scored whole. Ties go to the first language by name. Repeated rows get a row each; an empty table gives none; without labelled rows
+    all are `und`. Other columns are ignored.
     """
     model = model or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -215,9 +252,10 @@ def language(docs: DataFrame, model: Model | None = None, reject_below: float =
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for part, texts in chunks(batches):
-            lang, score = scorer.predict(texts, reject_below) if shared.value.langs else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+            lang, score, rejected = scorer.predict(texts) if shared.value.langs else ([UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    out = docs.select("doc_id", text_bytes()).mapInArrow(predict, "doc_id long, lang_pred string, score double")
+    out = docs.select("doc_id", text_bytes()).mapInArrow(predict, "doc_id long, lang_pred string, score double, rejected boolean")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    pred = F.when(F.col("rejected"), UNKNOWN).otherwise(F.col("lang_pred")) if reject else F.col("lang_pred")
+    return out.select("doc_id", held.alias("held_out"), pred.alias("lang_pred"), "score", "rejected")
