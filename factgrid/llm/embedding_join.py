@@ -27,10 +27,10 @@ THRESHOLD = 0.9
 #: Vectors of a block; a task holds two blocks and their product.
 BLOCK = 2_000
 #: Classes in a cell, about; and the most pivots, which every task holds.
-CELL = 6_000
+CELL = 2_000
 MOST_PIVOTS = 1_024
-#: Slack on distances, far above rounding: at worst a vector is sent to a cell without need.
-SLACK = 1e-9
+#: Slack on distances and their squares, far above rounding (a distance near 0 is off by the root of that of a product, some 2e-8): at worst a vector is sent to a cell without need.
+SLACK = 1e-6
 
 
 def unit_rows(column) -> np.ndarray:
@@ -55,7 +55,7 @@ def cells(classes: DataFrame, pivots: np.ndarray, reach: float) -> DataFrame:
                 d = np.sqrt(np.maximum(2 - 2 * unit_rows(raw.to_pylist()) @ p.T, 0))
                 home = d.argmin(1)
                 own = d[np.arange(len(d)), home][:, None]
-                sent = (d - own <= 2 * reach) & (d**2 - own**2 <= 2 * reach * apart[home] + SLACK) & (np.arange(len(p)) < home[:, None])
+                sent = (d - own <= 2 * reach + SLACK) & (d**2 - own**2 <= 2 * reach * apart[home] + SLACK) & (np.arange(len(p)) < home[:, None])
                 sent[np.arange(len(d)), home] = True
                 row, cell = np.nonzero(sent)
                 take = pa.array(row)
