@@ -1,12 +1,14 @@
 """Substring deduplication by level-wise doubling of repeated word windows.
 
-Level one: windows of half the length. Of the windows of that length inside one of full length, the one with the
-smallest hash stands for it, so equal stretches pick equal windows and few are kept. Windows that only one document
-has are dropped; Spark counts the rest by hash. Level two: the surviving windows are extended to the full
-length, and only those full windows are compared. Each goes, with its hash, to the task that owns its half window, which finds
-the smallest document of each. Levels end there, as nothing longer than the window asked for is removed.
-
-A window that many documents of a batch share is settled within the batch: only its smallest document there is sent on.
+Levels are windows of 12, 25 and 50 words (halves of the length asked for). Within each full window one window of the first length stands
+for it, the one with the smallest hash, so equal stretches pick equal windows and few are kept. Those that only one document has are
+dropped; the repeated ones are extended to windows of twice the length around them, again one for each full window, and so on. A level
+without survivors ends the job. On the last level the full windows themselves are compared: each goes, with its hash, to a task that
+owns windows around its survivor, which finds the smallest document of each. Two windows are equal if their own hash and that of the survivor
+inside are, 128 bits together.
+
+A window that many documents of a batch share is settled within the batch: only its smallest document there is sent on, and the
+windows around one survivor are dealt to several owners.
 """
 
 from __future__ import annotations
@@ -20,24 +22,64 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, stored, text_bytes
-from .shingles import Words, windows
+from .common import chunks, release, stored, text_bytes
+from .shingles import Words, mixed, windows
 
 WINDOW = 50
-#: Windows that a task compares at a time; the windows of one half window are compared together.
+#: Words of a window of the first level, at least.
+SHORTEST = 12
+#: Owners among which the full windows around one survivor are dealt, by their hash.
+OWNERS = 4
+#: Windows that a task compares at a time; the windows of one owner's key are compared together.
 MOST_AT_ONCE = 200_000
 
 
-def anchors(half: np.ndarray, window: int) -> np.ndarray:
-    """For each full window, the position of the half window with the smallest hash inside it (the first of equals)."""
-    span = window - window // 2 + 1
-    if len(half) < span:
-        return np.zeros(0, np.int64)
-    return np.arange(len(half) - span + 1) + sliding_window_view(half, span).argmin(1)
+def levels(window: int) -> list[int]:
+    """The lengths, each about twice the one before."""
+    out = [window]
+    while out[0] // 2 >= SHORTEST:
+        out.insert(0, out[0] // 2)
+    return out
+
+
+class Picks:
+    """A text's windows of each level that stand for its full windows."""
+
+    def __init__(self, words: np.ndarray, window: int):
+        self.words, self.window = words, window
+        self.starts = np.arange(max(0, len(words) - window + 1))  # of the full windows that are still candidates
+        self.at, self.length, self.hashes = self.starts, 0, np.zeros(0, np.uint64)
+
+    def extend(self, length: int) -> np.ndarray:
+        """Goes on to a greater length: for each candidate the window of that length with the smallest hash (the first of equals) that holds its last pick; returns their hashes."""
+        if not len(self.starts):
+            return np.zeros(0, np.uint64)
+        h = windows(self.words, length)
+        if not self.length:
+            inside = self.window - length + 1
+            at = self.starts + sliding_window_view(h, inside).argmin(1)
+        else:
+            low = np.maximum(self.starts, self.at + self.length - length)
+            high = np.minimum(self.starts + self.window - length, self.at)
+            each = np.minimum(low[:, None] + np.arange(min(length - self.length, self.window - length) + 1), high[:, None])
+            at = each[np.arange(len(each)), h[each].argmin(1)]
+        self.at, self.length, self.hashes = at, length, h[at]
+        return self.hashes
+
+    def keep(self, alive: np.ndarray) -> None:
+        """Leaves the candidates whose last pick is repeated."""
+        here = np.isin(self.hashes, alive)
+        self.starts, self.at, self.hashes = self.starts[here], self.at[here], self.hashes[here]
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """Rows are told apart by doc_id and tid, a hash of the text; those equal in both are alike."""
+    return docs.select("doc_id", F.xxhash64("text").alias("tid"), text_bytes())
 
 
 def described(docs: DataFrame, window: int) -> DataFrame:
-    """rid, doc_id, n_words, kept_sha256 of all words, and the hashes of its anchors."""
+    """doc_id, tid, n_words, kept_sha256 of all words, and the hashes of its picks of the first level."""
+    first = levels(window)[0]
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
@@ -47,67 +89,92 @@ def described(docs: DataFrame, window: int) -> DataFrame:
                 words = t.split()
                 n.append(len(words))
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                half = windows(known.of(words), window // 2) if len(words) >= window else np.zeros(0, np.uint64)
-                found.append(np.unique(half[np.unique(anchors(half, window))]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sha), pa.array(found, pa.list_(pa.int64()))], names=["rid", "doc_id", "n_words", "kept_sha256", "anchors"])
+                found.append(np.unique(Picks(known.of(words), window).extend(first)).view(np.int64) if len(words) >= window else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sha), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "tid", "n_words", "kept_sha256", "picks"])
 
-    return _rows(docs).mapInArrow(describe, "rid long, doc_id long, n_words long, kept_sha256 string, anchors array<long>")
+    return _rows(docs).mapInArrow(describe, "doc_id long, tid long, n_words long, kept_sha256 string, picks array<long>")
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """rid tells rows apart: equal for rows with equal doc_id and text only."""
-    return docs.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", text_bytes())
+def _picked(text: bytes, alive: list[np.ndarray], window: int, known: Words) -> Picks:
+    """The candidates that are left after the levels whose survivors are given."""
+    picks = Picks(known.of(text.split()), window)
+    for length, own in zip(levels(window), alive):
+        picks.extend(length)
+        picks.keep(own)
+    return picks
+
+
+def _survivors(part: pa.RecordBatch, i: int) -> list[np.ndarray]:
+    return [x.values.to_numpy().view(np.uint64) for x in part.column(3)[i].values]
+
+
+def _next_level(flagged: DataFrame, window: int, level: int) -> DataFrame:
+    """doc_id, tid, picks of the level (from 0), around the survivors of those before."""
+    length = levels(window)[level]
+
+    def extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for part, texts in chunks(batches):
+            found = [np.unique(_picked(t, _survivors(part, i), window, known).extend(length)).view(np.int64) for i, t in enumerate(texts)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "tid", "picks"])
+
+    return flagged.select("doc_id", "tid", "bytes", "alive").mapInArrow(extend, "doc_id long, tid long, picks array<long>")
 
 
 def _extended(flagged: DataFrame, window: int) -> DataFrame:
-    """(key, doc_id, rid, at, hashes): full windows around surviving half windows, at their owner `key`; without hashes, `at` are windows known to be repeats."""
+    """(key, tid, doc_id, at, hashes): full windows around the last survivors, at their owner `key`; without hashes, `at` are windows known to be repeats."""
 
     def extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for part, texts in chunks(batches, limit=16 << 20):
             key, full, row, at = [], [], [], []
-            for i, (t, alive) in enumerate(zip(texts, part.column(3))):
-                w = known.of(t.split())
-                half = windows(w, window // 2)
-                own = half[anchors(half, window)]
-                here = np.flatnonzero(np.isin(own, alive.values.to_numpy().view(np.uint64)))
-                key.append(own[here])
-                full.append(windows(w, window)[here])
-                row.append(np.full(len(here), i))
-                at.append(here)
+            for i, t in enumerate(texts):
+                picks = _picked(t, _survivors(part, i), window, known)
+                own = windows(picks.words, window)[picks.starts]
+                key.append(mixed(picks.hashes + own % np.uint64(OWNERS)) if len(picks.hashes) else own)
+                full.append(own)
+                row.append(np.full(len(own), i))
+                at.append(picks.starts)
             key, full, row, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (key, full, row, at))
-            rid, doc = (part.column(k).to_numpy() for k in (0, 1))
-            order = np.lexsort((at, doc[row], full)) if len(row) else np.zeros(0, np.int64)
+            doc, tid = (part.column(k).to_numpy() for k in (0, 1))
+            order = np.lexsort((at, doc[row], key, full)) if len(row) else np.zeros(0, np.int64)
             key, full, row, at = key[order], full[order], row[order], at[order]
-            head = np.flatnonzero(np.diff(full, prepend=full[:1] ^ np.uint64(1)) != 0) if len(full) else np.zeros(0, np.int64)
-            least = np.repeat(doc[row[head]], np.diff([*head, len(full)]))
+            least = _least(doc[row], full, key)
             repeat = doc[row] > least
-            yield _lists(doc[row[repeat]], rid[row[repeat]], rid[row[repeat]], at[repeat], None)
-            yield _lists(key[~repeat].view(np.int64), rid[row[~repeat]], doc[row[~repeat]], at[~repeat], full[~repeat])
+            yield _lists(doc[row[repeat]], tid[row[repeat]], doc[row[repeat]], at[repeat], None)
+            yield _lists(key[~repeat].view(np.int64), tid[row[~repeat]], doc[row[~repeat]], at[~repeat], full[~repeat])
+
+    return flagged.select("doc_id", "tid", "bytes", "alive").mapInArrow(extend, "key long, tid long, doc_id long, at binary, hashes binary")
+
 
-    return flagged.select("rid", "doc_id", "bytes", "alive").mapInArrow(extend, "key long, rid long, doc_id long, at binary, hashes binary")
+def _least(doc: np.ndarray, full: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """For windows sorted by hash, key and document, the smallest document of each one's equals."""
+    if not len(doc):
+        return doc
+    head = np.flatnonzero(np.concatenate([[True], (full[1:] != full[:-1]) | (key[1:] != key[:-1])]))
+    return np.repeat(doc[head], np.diff([*head, len(doc)]))
 
 
-def _lists(key: np.ndarray, rid: np.ndarray, doc: np.ndarray, at: np.ndarray, full: np.ndarray | None) -> pa.RecordBatch:
-    """A row for each (key, rid), with its windows."""
-    order = np.lexsort((at, rid, key))
-    key, rid, doc, at = key[order], rid[order], doc[order], at[order].astype(np.int32)
-    change = np.flatnonzero((np.diff(key) != 0) | (np.diff(rid) != 0)) + 1
+def _lists(key: np.ndarray, tid: np.ndarray, doc: np.ndarray, at: np.ndarray, full: np.ndarray | None) -> pa.RecordBatch:
+    """A row for each (key, document, text), with its windows."""
+    order = np.lexsort((at, tid, doc, key))
+    key, tid, doc, at = key[order], tid[order], doc[order], at[order].astype(np.int32)
+    change = np.flatnonzero((np.diff(key) != 0) | (np.diff(doc) != 0) | (np.diff(tid) != 0)) + 1
     head = np.concatenate([[0], change]) if len(key) else np.zeros(0, np.int64)
     ends = [*head[1:], len(key)]
     places = pa.array([at[a:b].tobytes() for a, b in zip(head, ends)], pa.binary())
     hashes = pa.array([full[order[a:b]].tobytes() for a, b in zip(head, ends)], pa.binary()) if full is not None else pa.nulls(len(head), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(key[head], pa.int64()), pa.array(rid[head], pa.int64()), pa.array(doc[head], pa.int64()), places, hashes], names=["key", "rid", "doc_id", "at", "hashes"])
+    return pa.RecordBatch.from_arrays([pa.array(key[head], pa.int64()), pa.array(tid[head], pa.int64()), pa.array(doc[head], pa.int64()), places, hashes], names=["key", "tid", "doc_id", "at", "hashes"])
 
 
 def _repeats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, at) of the windows that a smaller document has too; rows come sorted by key, and those of a key are compared together."""
+    """(doc_id, tid, at) of the windows that a smaller document has too; rows come sorted by key, and those of a key are compared together."""
     waiting: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         done = batch.filter(batch.column(4).is_null())
         if done.num_rows:
-            yield pa.RecordBatch.from_arrays([done.column(1), done.column(3)], names=["rid", "at"])
+            yield pa.RecordBatch.from_arrays([done.column(2), done.column(1), done.column(3)], names=["doc_id", "tid", "at"])
         batch = batch.filter(batch.column(4).is_valid())
         if not batch.num_rows:
             continue
@@ -128,18 +195,16 @@ def _compare(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = [p for p in parts if p.num_rows]
     if not parts:
         return
-    rid, doc = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in (1, 2))
+    key, tid, doc = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in (0, 1, 2))
     places = [np.frombuffer(x, np.int32) for p in parts for x in p.column(3).to_pylist()]
     full = np.concatenate([np.frombuffer(x, np.uint64) for p in parts for x in p.column(4).to_pylist()])
-    row, at = np.repeat(np.arange(len(rid)), [len(x) for x in places]), np.concatenate(places)
-    order = np.lexsort((doc[row], full))
-    sorted_full = full[order]
-    head = np.flatnonzero(np.concatenate([[True], sorted_full[1:] != sorted_full[:-1]]))
-    least = np.repeat(doc[row[order[head]]], np.diff([*head, len(full)]))
-    repeat = order[doc[row[order]] > least]
-    if len(repeat):
-        out = _lists(rid[row[repeat]], rid[row[repeat]], rid[row[repeat]], at[repeat], None)
-        yield pa.RecordBatch.from_arrays([out.column(1), out.column(3)], names=["rid", "at"])
+    row, at = np.repeat(np.arange(len(tid)), [len(x) for x in places]), np.concatenate(places)
+    order = np.lexsort((doc[row], key[row], full))
+    row, at = row[order], at[order]
+    repeat = doc[row] > _least(doc[row], full[order], key[row])
+    if repeat.any():
+        out = _lists(doc[row[repeat]], tid[row[repeat]], doc[row[repeat]], at[repeat], None)
+        yield pa.RecordBatch.from_arrays([out.column(2), out.column(1), out.column(3)], names=["doc_id", "tid", "at"])
 
 
 def _covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -150,43 +215,55 @@ def _covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
 
 
 def repeated(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """What is known of every row (see described), and rid, bytes, at of the rows that lose words."""
-    scan = stored(described(docs, window), "described")
-    each = scan.where("doc_id is not null").select("rid", "doc_id", F.explode("anchors").alias("anchor"))
-    alive = each.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor")
-    hit = each.join(alive, "anchor").groupBy("rid").agg(F.collect_set("anchor").alias("alive"))  # at most a document's own
-    flagged = stored(_rows(docs).join(hit, "rid").dropDuplicates(["rid"]), "flagged")
-    full = _extended(flagged, window)
-    at = full.repartition("key").sortWithinPartitions("key").mapInArrow(_repeats, "rid long, at binary")
-    return scan, flagged.select("rid", "bytes").join(at.groupBy("rid").agg(F.collect_list("at").alias("at")), "rid")
+    """What is known of every row (see described), and doc_id, tid, bytes, at of the rows that lose words."""
+    scan, row = stored(described(docs, window), "described"), ["doc_id", "tid"]
+    picks, flagged = scan.where("doc_id is not null").select(*row, "picks"), None
+    for level in range(len(levels(window)) - 1):
+        each = picks.select(*row, F.explode("picks").alias("pick"))
+        twice = each.groupBy("pick").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("pick")
+        hit = each.join(twice, "pick").groupBy(*row).agg(F.collect_set("pick").alias("now"))  # a text's own at most
+        if flagged is None:
+            flagged = _rows(docs).join(hit, row).dropDuplicates(row).select(*row, "bytes", F.array("now").alias("alive"))
+        else:
+            flagged = flagged.join(hit, row).select(*row, "bytes", F.concat("alive", F.array("now")).alias("alive"))
+        flagged = stored(flagged, f"survivors{level}")
+        release(docs.sparkSession)
+        if flagged.isEmpty():
+            break
+        if level + 2 < len(levels(window)):
+            picks = stored(_next_level(flagged, window, level + 1), f"picks{level + 1}")
+    if flagged is None:  # a window too short to halve: all full windows are compared
+        flagged = _rows(docs).where("doc_id is not null").dropDuplicates(row).select(*row, "bytes", F.array().cast("array<array<long>>").alias("alive"))
+    at = _extended(flagged, window).repartition("key").sortWithinPartitions("key").mapInArrow(_repeats, "doc_id long, tid long, at binary")
+    return scan, flagged.select(*row, "bytes").join(at.groupBy(*row).agg(F.collect_list("at").alias("at")), row)
 
 
 def cleaned(losing: DataFrame, window: int, with_text: bool = False) -> DataFrame:
-    """rid, n_removed, kept_sha256, and the kept text if asked for, of rows that lose words."""
+    """doc_id, tid, n_removed, kept_sha256, and the kept text if asked for, of rows that lose words."""
 
     def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
             n, sha, kept = [], [], []
-            for t, at in zip(texts, part.column(2).to_pylist()):
+            for t, at in zip(texts, part.column(3).to_pylist()):
                 words = t.split()
                 gone = _covered(len(words), np.concatenate([np.frombuffer(x, np.int32) for x in at]), window)
                 text = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
                 n.append(int(gone.sum()))
                 sha.append(hashlib.sha256(text).hexdigest())
                 kept.append(text.decode("utf-8") if with_text else None)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sha), pa.array(kept, pa.string())], names=["rid", "n_removed", "kept_sha256", "text"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sha), pa.array(kept, pa.string())], names=["doc_id", "tid", "n_removed", "kept_sha256", "text"])
 
-    return losing.select("rid", "bytes", "at").mapInArrow(clean, "rid long, n_removed long, kept_sha256 string, text string")
+    return losing.select("doc_id", "tid", "bytes", "at").mapInArrow(clean, "doc_id long, tid long, n_removed long, kept_sha256 string, text string")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every document.
 
     A word goes if a window of `window` consecutive words that covers it also starts in a document with a smaller
-    doc_id. Windows are judged on the input. Null and empty texts have no words and the digest of the empty
-    string. Rows with the same doc_id don't count as earlier for each other; rows with a null doc_id neither lose words
+    doc_id. Windows are judged on the input; texts of any length are taken whole. Null and empty texts have no words and the digest of the
+    empty string. Rows with the same doc_id don't count as earlier for each other; rows with a null doc_id neither lose words
     nor make others lose any. An empty table gives no rows; other columns are ignored.
     """
     scan, losing = repeated(docs, window)
-    changed = cleaned(losing, window).select("rid", "n_removed", F.col("kept_sha256").alias("sha"))
-    return scan.select("rid", "doc_id", "n_words", "kept_sha256").join(changed, "rid", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("sha", "kept_sha256").alias("kept_sha256"))
+    changed = cleaned(losing, window).select("doc_id", "tid", "n_removed", F.col("kept_sha256").alias("sha"))
+    return scan.select("doc_id", "tid", "n_words", "kept_sha256").join(changed, ["doc_id", "tid"], "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("sha", "kept_sha256").alias("kept_sha256"))
