@@ -169,11 +169,11 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 0, **kinds) -> DataFr
 
 
 def mixed_rows(docs: DataFrame, shards: int = SHARDS, seed: int = 0, **kinds) -> DataFrame:
-    """The documents' rows with all their columns, once for each taken copy, with copy, shard and place; a row is never joined by its id."""
+    """(row, copy, shard, place): the documents' rows as structs of all their columns, once for each taken copy; a row is never joined by its id."""
     p = dealt(stored(sized(docs, seed), "sizes"), shards, seed, **kinds)
     d = _drawn(docs.select(F.struct("*").alias("row"), "source", key(seed).alias("key")), p)
     d = d.select("row", "key", F.posexplode("in").alias("copy", "shard"))
-    return d.select("row.*", "copy", "shard", F.xxhash64("key", "copy", F.lit(seed)).alias("place"))
+    return d.select("row", "copy", "shard", F.xxhash64("key", "copy", F.lit(seed)).alias("place"))
 
 
 def shuffled(mixed: DataFrame) -> DataFrame:
@@ -182,8 +182,9 @@ def shuffled(mixed: DataFrame) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, **kinds) -> None:
-    """The taken copies with their texts, a folder per shard, shuffled within it."""
-    shuffled(mixed_rows(docs, **kinds)).write.partitionBy("shard").parquet(path)
+    """The taken copies with their columns (but one named shard), a folder per shard, shuffled within it."""
+    columns = [F.col("row")[c].alias(c) for c in docs.columns if c != "shard"]
+    shuffled(mixed_rows(docs, **kinds)).select("shard", *columns).write.partitionBy("shard").parquet(path)
 
 
 def source_mix(docs: DataFrame, seed: int = 0, **kinds) -> DataFrame:
