@@ -31,7 +31,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document comes as often as the mix takes it; one that the mix doesn't take goes."""
-    return source_mix.shuffled(source_mix.mixed_rows(docs)).select(docs.columns)
+    return source_mix.shuffled(source_mix.mixed_rows(docs)).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
