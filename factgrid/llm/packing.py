@@ -9,7 +9,9 @@ length that a third of all pieces share isn't gathered anywhere.
 
 from __future__ import annotations
 
-import unicodedata
+import json
+import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
@@ -24,60 +26,78 @@ from .common import chunks, stored, text_bytes
 
 LIMIT = 4096
 END_ID = 1
-#: Words whose ids a Python worker keeps; beyond that it forgets them all.
+#: Words, and parts of words, whose ids a Python worker keeps; beyond that it forgets them all.
 MOST_WORDS = 400_000
-#: Branches that the search tries after best-fit gave the first solution.
-MOST_NODES = 1_000
-#: Pieces whose ranks one task counts, on average.
-BUCKET_PIECES = 50_000
+#: Steps of the search (fillings built or tried) after best-fit gave the first solution; it stops before where the bound is met.
+MOST_NODES = 20_000
+#: Pieces of one length whose ranks a task counts together, on average.
+BUCKET_PIECES = 500
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class Encoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes, equal to the tokenizer's own, word by word.
+#: What the tokenizer's file says of texts, where words can be encoded alone: lower case, and a split that drops white space.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [{"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+    },
+}
+#: Printable characters below U+0180 that no normalisation changes, letters and numbers of them; other words take the tokenizer's whole way ("|" begins the names of special tokens).
+_LETTERS, _NUMBERS = r"a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f", r"0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_ODD = re.compile(r"[^!-{}~\u00a1-\u00ac\u00ae-\u012f\u0131-\u017f]")
+#: _SPLIT for these characters.
+_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+
+
+class Parts(dict):
+    """The ids of a part of a word that the split leaves, by the model."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize = model.tokenize
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in byte-level BPE
+        others = [x for x in range(256) if x not in set(plain)]
+        self.chars = {x: chr(x) for x in plain} | {x: chr(256 + i) for i, x in enumerate(others)}
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        mapped = part if part.isascii() else "".join(map(self.chars.__getitem__, part.encode()))
+        ids = [t.id for t in self.tokenize(mapped)]
+        self[part] = out = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
+
+class Encoder(dict):
+    """Ids of texts as little-endian unsigned 32-bit bytes, equal to the tokenizer's own.
 
-    The tokenizer drops white space and no token spans it, so words are encoded alone and their ids kept. Words of letters
-    below U+0250 go straight to the model; others take the tokenizer's whole way.
+    Where the tokenizer's file says that no token spans white space, words are encoded alone, part by part, and their ids are kept here;
+    words of unusual characters take the tokenizer's whole way. With another file, whole texts do.
     """
 
     def __init__(self, path: str):
-        import regex
+        super().__init__()
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in byte-level BPE
-        others = [b for b in range(256) if b not in set(plain)]
-        self.chars = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def part(self, token: str) -> bytes:
-        ids = self.parts.get(token)
-        if ids is None:
-            mapped = token if token.isascii() else "".join(map(self.chars.__getitem__, token.encode()))
-            ids = self.parts[token] = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-        return ids
+        rules = json.loads(self.whole.to_str())
+        self.wordwise = {k: rules.get(k) for k in _WORDWISE} == _WORDWISE and rules["model"]["type"] == "BPE"
+        self.parts = Parts(self.whole.model)
 
-    def word(self, raw: bytes) -> bytes:
-        text = raw.decode("utf-8")
-        low = text.lower()
-        if "|" not in text and low.isprintable() and max(low) < "ɐ" and max(text) < "ɐ" and unicodedata.is_normalized("NFC", low):
-            return b"".join(map(self.part, self.split.findall(low)))
+    def _whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        text = word.decode("utf-8")
+        self[word] = ids = self._whole(text) if _ODD.search(text) else b"".join(map(self.parts.__getitem__, _PARTS.findall(text.lower())))
+        return ids
+
     def encode(self, text: bytes) -> bytes:
-        known, out = self.words, []
-        for w in text.split():
-            ids = known.get(w)
-            if ids is None:
-                if len(known) >= MOST_WORDS:
-                    known.clear()
-                    self.parts.clear()
-                ids = known[w] = self.word(w)
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.__getitem__, text.split())) if self.wordwise else self._whole(text.decode("utf-8"))
 
 
 def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
@@ -149,49 +169,70 @@ def least_bins(counts: dict[int, int], limit: int) -> int:
     return int(max(waste.max(), -(-tokens[limit] // limit)))
 
 
-def completions(counts: dict[int, int], largest: int, limit: int, most: int = 12) -> list[tuple[int, ...]]:
-    """Undominated fillings around one of the largest, fullest first.
+class Steps:
+    """How many steps a search may still take."""
+
+    def __init__(self, most: int):
+        self.left = most
+
+    def take(self) -> bool:
+        self.left -= 1
+        return self.left >= 0
 
-    Up to three more lengths are enumerated, each the largest that the others leave room for; a filling is
-    dominated by one that holds a larger length in the same place, so only those stay.
+
+def completions(counts: dict[int, int], largest: int, limit: int, steps: Steps, least: int = 0) -> Iterator[tuple[int, ...]]:
+    """The undominated fillings around one of the largest, longest lengths first, one at a time.
+
+    A filling is dominated, and left out, if a length of it could be replaced by a larger one that is to be had and
+    still fits (an added length replaces room), or two of its lengths by one at least as long as both together. least: tokens that the bin has to hold.
     """
-    room = limit - largest
-    lengths = sorted((k for k, n in counts.items() if n > (k == largest) and k <= room), reverse=True)
-    if not lengths:
-        return [()]
+    have = dict(counts)
+    have[largest] -= 1
+    lengths = sorted((k for k, n in have.items() if n and k <= limit - largest), reverse=True)
     ascending = lengths[::-1]
-    have = lambda k, used: counts.get(k, 0) - (k == largest) - used.count(k)
-
-    def fit(space: int, used: tuple[int, ...]) -> int:
-        i = bisect_left(ascending, space + 1)
-        while i and have(ascending[i - 1], used) <= 0:
-            i -= 1
-        return ascending[i - 1] if i else 0
-
-    found: dict[tuple[int, ...], int] = {}
-    for a in lengths[:64]:
-        way = (a,)
-        while (b := fit(room - sum(way), way)) and len(way) < 64:
-            way += (b,)
-        found[tuple(sorted(way, reverse=True))] = sum(way)
-        for b in lengths[:: max(1, len(lengths) // 48)]:
-            if a + b <= room and have(b, (a,)) > 0:
-                c = fit(room - a - b, (a, b))
-                way = tuple(sorted((x for x in (a, b, c) if x), reverse=True))
-                if sum(way) <= room:
-                    found[way] = sum(way)
-                    if sum(way) == room:
-                        break
-    ranked = sorted(found, key=lambda w: (-found[w], len(w), [-x for x in w]))
-    return ranked[:most]
+
+    def better(low: int, high: int) -> bool:
+        """Whether a length in [low, high] is left."""
+        for k in ascending[bisect_left(ascending, low) :]:
+            if k > high:
+                return False
+            if have[k]:
+                return True
+        return False
+
+    def undominated(way: list[int], room: int) -> bool:
+        if better(1, room) or any(better(k + 1, k + room) for k in dict.fromkeys(way)):
+            return False
+        pairs = {x + y for i, x in enumerate(way) for y in way[i + 1 :]}
+        return not any(better(p, p + room) for p in pairs)
+
+    def build(way: list[int], at: int, room: int) -> Iterator[tuple[int, ...]]:
+        """Fillings that go on from way with lengths from lengths[at] on."""
+        if not steps.take():
+            return
+        for i in range(at, len(lengths)):
+            k = lengths[i]
+            if k <= room and have[k]:
+                have[k] -= 1
+                way.append(k)
+                yield from build(way, i, room - k)
+                way.pop()
+                have[k] += 1
+                if steps.left < 0:
+                    return
+        if limit - room >= least and undominated(way, room):
+            yield tuple(way)
+
+    yield from build([], 0, limit - largest)
 
 
 def solve(counts: dict[int, int], limit: int = LIMIT, most_nodes: int = MOST_NODES) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a bin, number of such bins), as few bins as the search finds; pieces of the whole limit are bins of their own.
 
-    Bin completion: the largest length left is put with an undominated filling as often as the counts allow, then the next.
-    Branches end once their bins and the bound on what is left reach the incumbent, which best-fit over what is left improves;
-    the search ends at the lower bound or after most_nodes branches, with the best solution so far.
+    Bin completion: the largest length left is put with an undominated filling, as often as the counts allow and then once,
+    then the next. Branches end once their bins and the bound on what is left reach the incumbent, which best-fit over what is left
+    improves. The search ends when nothing is left to try (the solution has the fewest bins), at the lower bound, or after
+    most_nodes steps with the best solution so far; least_bins then says how far off it may be.
     """
     rest = {k: n for k, n in counts.items() if n and k < limit}
     whole = [((limit,), counts[limit])] if counts.get(limit) else []
@@ -199,34 +240,46 @@ def solve(counts: dict[int, int], limit: int = LIMIT, most_nodes: int = MOST_NOD
         return whole
     best = best_fit(rest, limit)
     goal, size = least_bins(rest, limit), lambda s: sum(n for _, n in s)
-    left, done, used, nodes = dict(rest), [], 0, 0
-    tries = [iter(completions(left, max(left), limit))]  # one for each depth; a step is undone when its branch ends
-    while tries and size(best) > goal and nodes < most_nodes:
-        filling = next(tries[-1], None)
-        if filling is None:
-            tries.pop()
+    left, done, used, nodes, steps = dict(rest), [], 0, 0, Steps(most_nodes)
+
+    def tries(left: dict[int, int], spare: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        """Fillings and how often each, of which a bin may waste no more than spare."""
+        largest = max(left)
+        for filling in completions(left, largest, limit, steps, limit - spare):
+            way = (largest, *filling)
+            most = min(left[k] // way.count(k) for k in set(way))
+            yield way, most
+            if most > 1:
+                yield way, 1
+
+    tokens = sum(k * n for k, n in left.items())
+    spare = lambda: (size(best) - 1 - used) * limit - sum(k * n for k, n in left.items())
+    if -(-tokens // limit) >= size(best):
+        return whole + best
+    depth = [tries(left, spare())]  # one for each depth; a step is undone when its branch ends
+    while depth and size(best) > goal and steps.take():
+        step = next(depth[-1], None)
+        if step is None:
+            depth.pop()
             if done:
                 way, times = done.pop()
                 used -= times
-                for k in way:
-                    left[k] = left.get(k, 0) + times
+                left = left | {k: left.get(k, 0) + times * way.count(k) for k in set(way)}
             continue
         nodes += 1
-        way = (max(left), *filling)
-        times = min(left[k] // way.count(k) for k in set(way))
-        for k in way:
-            left[k] -= times
+        way, times = step
+        left = left | {k: left[k] - times * way.count(k) for k in set(way)}
         left = {k: n for k, n in left.items() if n}
-        done.append((way, times))
+        done.append(step)
         used += times
         if used + least_bins(left, limit) >= size(best):  # its waste is too much already, or it is complete and no better
-            tries.append(iter(()))
+            depth.append(iter(()))
             continue
         if not left or nodes % 16 == 0:
             tail = best_fit(left, limit) if left else []
             if used + size(tail) < size(best):
                 best = done + tail
-        tries.append(iter(completions(left, max(left), limit)) if left else iter(()))
+        depth.append(tries(left, spare()) if left else iter(()))
     return whole + best
 
 
@@ -250,14 +303,17 @@ def slots(solution: list[tuple[tuple[int, ...], int]], limit: int) -> dict[str,
 def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = END_ID, most_nodes: int = MOST_NODES) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null text is empty: a document of end_id alone. Pieces of a sequence lie side by side from offset 0. An empty
-    table gives no rows; repeated rows are packed each; other columns are ignored.
+    A null text is empty: a document of end_id alone. Texts of any length are encoded whole; a task holds one of them, or a batch.
+    Pieces of a sequence lie side by side from offset 0. Pieces of equal length change places freely; they are ordered by doc_id, piece and
+    ids. An empty table gives no rows; repeated rows and rows with a null doc_id are packed each; other columns are ignored.
     """
     p = stored(pieces(docs, tokenizer, limit, end_id), "pieces")
-    ranks = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(1, p.count() // BUCKET_PIECES)))
-    by = p.groupBy("length", ranks.alias("bucket")).agg(F.count("*").alias("n"))
+    sizes = stored(p.groupBy("length").agg(F.count("*").alias("n")), "lengths")  # at most `limit` rows
+    counts = {r["length"]: r["n"] for r in sizes.collect()}
+    often = sizes.select("length", F.ceil(F.col("n") / BUCKET_PIECES).alias("buckets"))
+    p = p.join(F.broadcast(often), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets")))
+    by = p.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     by = stored(by.withColumn("first", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")), "ranks")
-    counts = {r["length"]: r["n"] for r in by.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `limit` rows
     table = slots(solve(counts, limit, most_nodes), limit)
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +324,7 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = END_
             columns = [batch.column(k) for k in range(5)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(table["offset"][i])], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")
-    ranked = p.withColumn("bucket", ranks).withColumn("row", F.row_number().over(order)).join(by.select("length", "bucket", "first"), ["length", "bucket"])
+    order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    ranked = p.withColumn("row", F.row_number().over(order)).join(by.select("length", "bucket", "first"), ["length", "bucket"])
     names = [x.split()[0] for x in PIECES.split(", ")]
     return ranked.select(*names, (F.col("first") + F.col("row") - 1).alias("rank")).mapInArrow(place, PIECES + ", sequence_id long, offset long")
