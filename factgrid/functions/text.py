@@ -24,21 +24,29 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+# fixed values: characters that extractors leave inside words, marks of a word broken at a line end, a page's own number
+CONTROLS = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\ufffe\\ufeff]"
+BREAK_MARK = "[\\u00ad\\x02]"
+PAGE_NUMBER = r"(?U)^\s*\d{1,3}\s*"
+
+
 def clean_page(c: Column) -> Column:
     """Without control characters that extractors leave inside words; tabs and line ends stay."""
-    return F.regexp_replace(c, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\ufffe\\ufeff]", "")
+    return F.regexp_replace(c, CONTROLS, "")
 
 
 def is_filler(c: Column) -> Column:
     """Whether a page has too little text besides its number to hold evidence."""
-    return F.length(strip(F.regexp_replace(c, r"(?U)^\s*\d{1,3}\s*", ""))) < MIN_PAGE_CHARS
+    return F.length(strip(F.regexp_replace(c, PAGE_NUMBER, ""))) < MIN_PAGE_CHARS
 
 
 def join_hyphens(c: Column) -> Column:
-    """Words broken at a line end joined, other soft hyphens made visible, blank lines folded."""
-    joined = F.regexp_replace(c, "[ \\t]*[\\u00ad\\x02][ \\t]*\\n[ \\t]*|\\n[ \\t]*[\\u00ad\\x02][ \\t]*\\n?[ \\t]*", "")
-    shown = F.regexp_replace(F.regexp_replace(joined, "\\u00ad", "-"), "\\x02", "")
-    return F.concat(strip(F.regexp_replace(shown, r"\n{3,}", "\n\n")), F.lit("\n"))
+    """Words broken at a line end joined, whether the mark ends the line or begins the next; other soft hyphens made visible, blank lines folded."""
+    blanks = "[ \\t]*"
+    for broken in (f"{blanks}{BREAK_MARK}{blanks}\\n{blanks}", f"\\n{blanks}{BREAK_MARK}{blanks}\\n?{blanks}"):
+        c = F.regexp_replace(c, broken, "")
+    lines = F.regexp_replace(F.translate(c, "\u00ad\x02", "-"), "\\n\\n\\n+", "\n\n")
+    return F.concat(strip(lines), F.lit("\n"))
 
 
 def folded(c: Column) -> Column:
@@ -74,6 +82,11 @@ def vote_title(vote: Column) -> Column:
     return F.when(kind.startswith("OBJECT"), F.coalesce(text("$.title"), text("$.name"), F.to_json(vote))).when(kind != "VOID", F.try_variant_get(vote, "$", "string"))
 
 
+def elapsed_ms(seconds: Column, waited: Column) -> Column:
+    """A case's own time in whole milliseconds (halves to even): what passed without the time waited for calls."""
+    return F.greatest(F.lit(0), F.bround((seconds - waited) * 1000)).cast("long")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -28,7 +28,7 @@ def first_hits(citations: DataFrame, chunks: DataFrame) -> DataFrame:
     in order; the first with a stretch at least MIN_SCORE like the quote wins. Quotes that are too short have no place. Only quotes that
     the cited chunk doesn't hold meet a request's other chunks, and of those none behind the first that holds the quote word by word.
     """
-    asked = citations.select("request", "place", F.col("chunk").alias("cited"), text.strip(F.col("quote")).alias("wanted")).where(F.length("wanted") >= text.MIN_QUOTE_CHARS)
+    asked = citations.select("request", "place", F.col("chunk").alias("cited"), F.col("quote").alias("wanted")).where(F.length(text.strip(F.col("wanted"))) >= text.MIN_QUOTE_CHARS)
     held = chunks.select("request", "chunk", "page", "text")
     cited = asked.join(held, (asked.request == held.request) & (asked.cited == held.chunk)).drop(held.request)
     probed = cited.withColumn("hit", alignment("wanted", "text")).where(F.col("hit.score") >= MIN_SCORE)
@@ -49,7 +49,7 @@ def best_chunks(texts: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def evidence_hits(gold: DataFrame, quotes: DataFrame) -> DataFrame:
-    """(id, hit): whether one of a case's quotes is at least MIN_SCORE like its gold passage, gold(id, passage), quotes(id, quote)."""
-    asked = gold.select("id", text.normalized(F.col("passage")).alias("p")).join(quotes.select("id", text.normalized(F.substring("quote", 1, text.EVIDENCE_CHARS)).alias("q")), "id", "left")
-    good = (F.length("q") > 0) & (F.length("p") > 0) & (alignment("q", "p")["score"] >= MIN_SCORE)
+    """(id, hit): whether one of a case's quotes, too long ones aside, is at least MIN_SCORE like its gold passage, gold(id, passage), quotes(id, quote)."""
+    asked = gold.select("id", text.normalized(F.col("passage")).alias("p")).join(quotes.select("id", text.normalized(F.col("quote")).alias("q")), "id", "left")
+    good = (F.length("q") > 0) & (F.length("q") <= text.EVIDENCE_CHARS) & (F.length("p") > 0) & (alignment("q", "p")["score"] >= MIN_SCORE)
     return asked.withColumn("good", good).groupBy("id").agg(F.coalesce(F.bool_or("good"), F.lit(False)).alias("hit"))

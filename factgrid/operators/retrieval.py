@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factgrid.functions.text import dot
+from factgrid.functions.text import dot, passage, query, unit
+
+# fixed value: pages that a claim is compared with
+TOP_K = 5
 
 
-def top_pages(claims: DataFrame, pages: DataFrame, k: int = 5) -> DataFrame:
+def top_pages(claims: DataFrame, pages: DataFrame, k: int = TOP_K) -> DataFrame:
     """(request, page, rank, score): claims(request, path, vec), pages(path, page, vec); a booklet of k pages or fewer comes whole, in page order, without scores."""
     size = pages.groupBy("path").agg(F.count("*").alias("size"))
     both = claims.withColumnRenamed("vec", "claim_vec").join(pages.join(size, "path"), "path")
@@ -24,3 +32,57 @@ def first_evidence(quotes: DataFrame, retrieved: DataFrame, most: int = 5) -> Da
     both = quotes.select("request", "page", "text", F.lit(0).alias("kind"), F.col("place").alias("at")).unionByName(rest.select("request", "page", "text", F.lit(1).alias("kind"), F.col("rank").alias("at")))
     place = F.row_number().over(Window.partitionBy("request").orderBy("kind", "at"))
     return both.select("request", "page", "text", place.alias("place")).where(F.col("place") <= most)
+
+
+def hashed_ngrams(size: int = 256, n: int = 3) -> Callable[[list[str]], np.ndarray]:
+    """An embedder without a model: counts of character n-grams by hash. It stands in where no model can be loaded."""
+
+    def embed(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), size), np.float32)
+        for row, t in zip(out, texts):
+            low = t.lower()
+            np.add.at(row, [zlib.crc32(low[i : i + n].encode()) % size for i in range(len(low) - n + 1)], 1)
+        return out
+
+    return embed
+
+
+def embedded(texts: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]], column: str = "text", batch: int = 4) -> DataFrame:
+    """texts with `vec`, of length 1: each distinct text is embedded once. load makes the embedder, once in each Python worker's task."""
+
+    @F.pandas_udf("array<float>")
+    def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        embed = load()
+        for part in parts:
+            own = part.tolist()
+            yield pd.Series([v for at in range(0, len(own), batch) for v in embed(own[at : at + batch])], dtype=object)
+
+    once = texts.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_v", vectors(column))
+    return texts.join(once.withColumn("vec", unit(F.col("_v"))).drop("_v"), column, "left")
+
+
+def page_vectors(pages: DataFrame, load, batch: int = 4) -> DataFrame:
+    """(path, page, vec): the index of all booklets, one row a page."""
+    return embedded(pages.select("path", "page", passage(F.col("text")).alias("text")), load, "text", batch).select("path", "page", "vec")
+
+
+def claim_vectors(requests: DataFrame, load, batch: int = 4) -> DataFrame:
+    """(line_no, vec) of requests(line_no, claim, vote), vote being its title; equal queries are embedded once."""
+    return embedded(requests.select("line_no", query(F.col("claim"), F.col("vote")).alias("text")), load, "text", batch).select("line_no", "vec")
+
+
+def chunks(requests: DataFrame, pages: DataFrame, vectors: DataFrame | None = None, claims: DataFrame | None = None, k: int = TOP_K) -> tuple[DataFrame, DataFrame | None]:
+    """(request, chunk, page, paragraph, text), numbered from 0 in reading order, and the retrieved pages (request, page, rank, text) if any.
+
+    A request with a passage has that one chunk, without a page. One with a booklet has its k pages most like the claim, or, without vectors, all.
+    """
+    b = requests.where("task = 'B'").select(F.col("line_no").alias("request"), F.lit(0).alias("chunk"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("paragraph"), F.col("reference_text").alias("text"))
+    a = requests.where("task = 'A'").select(F.col("line_no").alias("request"), F.col("booklet_path").alias("path"))
+    own, retrieved = a.join(pages, "path").select("request", "page", "text"), None
+    if vectors is not None and claims is not None:
+        asked = a.join(claims.select(F.col("line_no").alias("request"), "vec"), "request")
+        best = top_pages(asked, vectors, k).select("request", "page", "rank")
+        own = retrieved = own.join(best, ["request", "page"])
+    number = F.row_number().over(Window.partitionBy("request").orderBy("page")) - 1
+    listed = own.select("request", number.alias("chunk"), "page", F.lit(None).cast("string").alias("paragraph"), "text")
+    return listed.unionByName(b), retrieved

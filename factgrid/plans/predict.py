@@ -22,11 +22,11 @@ def predictions(requests: DataFrame, chunks: DataFrame, answered: DataFrame, ret
     Requests without an answer, or with one that can't be read, are neutral. Quotes that were found are the evidence; without any, a label
     other than neutral has the chunk most like the answer's passage. retrieved(request, page, rank, text) fills up to five, but not for neutral.
     """
-    read = answers.parsed(requests.select("request", "claim").join(answered.select("request", "answer"), "request"))
+    read = answers.parsed(requests.select("request").join(answered.select("request", "answer"), "request"))
     cited = read.select("request", F.posexplode("citations").alias("place", "c")).select("request", "place", "c.chunk", "c.quote")
     hits = quotes.first_hits(cited, chunks)
     lost = read.where("label <> 'NEUTRAL'").join(hits.select("request").distinct(), "request", "left_anti")
-    words = lost.select("request", F.explode(F.concat(F.transform("citations", lambda c: c["quote"]), F.array("passage_says", "claim"))).alias("text"))
+    words = lost.select("request", F.explode(F.concat(F.transform("citations", lambda c: c["quote"]), F.array("passage_says"))).alias("text"))
     best = quotes.best_chunks(words, chunks.join(lost.select("request"), "request", "left_semi"))
     kinds = lambda df, place, body, missed: df.select("request", "page", F.substring(body, 1, text.EVIDENCE_CHARS).alias("text"), place.alias("place"), F.lit(missed).alias("missed"))
     own = kinds(hits, F.col("place"), "quote", False).unionByName(kinds(best, F.lit(0), "text", True))

@@ -59,6 +59,11 @@ def write_lines(df: DataFrame, path: str, by: str = "line_no") -> None:
     df.orderBy(by).select(F.to_json(F.struct(*body), {"ignoreNullFields": "false"}).alias("value")).write.mode("errorifexists").text(path)
 
 
+def write_raw(df: DataFrame, path: str, by: str = "line_no") -> None:
+    """Lines that are JSON already, in the order of `by`."""
+    df.orderBy(by).select(F.col("raw").alias("value")).write.mode("errorifexists").text(path)
+
+
 def log_run(report: DataFrame, path: str, name: str, commit: str | None = None, note: str = "") -> None:
     """Adds the report's rows to a log of experiments, with the time, a name and the commit."""
     report.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("time"), F.lit(name).alias("name"), F.lit(commit).cast("string").alias("commit"), F.lit(note).alias("note"), F.struct("*").alias("metrics")).write.mode("append").json(path)

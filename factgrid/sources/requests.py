@@ -10,10 +10,17 @@ from factgrid.functions.text import LANGUAGES
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, raw) of the non-blank lines; blank ones count in line_no."""
-    whole = spark.read.text(path, wholetext=True)
-    each = whole.select(F.posexplode(F.split("value", "\r\n|\r|\n")).alias("at", "raw"))
-    return each.where(F.col("raw").rlike(r"(?U)\S")).select((F.col("at") + 1).cast("long").alias("line_no"), "raw")
+    """(path, line_no, raw, utf8) of the non-blank lines; blank ones count in line_no, which begins anew in each file.
+
+    Files are read in splits, however large. A line's number is its place in the split behind the lines of the file's splits before.
+    """
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
+    sizes = read.groupBy("path", "block").agg(F.count("*").alias("n"))
+    before = sizes.select("path", "block", (F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("path", "block").orderBy("at"))
+    each = read.withColumn("own", own).join(before, ["path", "block"])
+    utf8 = F.is_valid_utf8("raw")
+    return each.where(F.col("raw").rlike(r"(?U)\S") | ~utf8).select("path", (F.col("before") + F.col("own")).alias("line_no"), "raw", utf8.alias("utf8"))
 
 
 def ruled(rows: DataFrame) -> DataFrame:
@@ -37,7 +44,7 @@ def ruled(rows: DataFrame) -> DataFrame:
         F.when(has("reference"), F.when(~filled("$.reference.text"), "reference.text").when(~spoken("$.reference.language"), "reference.language")),
     )
     return v.select(
-        "line_no", kind("$.id").alias("id_kind"), text("$.id").alias("id"), F.try_variant_get("v", "$.vote", "variant").alias("vote"), text("$.claim.text").alias("claim"), text("$.claim.language").alias("claim_lang"),
+        "line_no", F.try_variant_get("v", "$.id", "variant").alias("id_value"), kind("$.id").alias("id_kind"), text("$.id").alias("id"), F.try_variant_get("v", "$.vote", "variant").alias("vote"), text("$.claim.text").alias("claim"), text("$.claim.language").alias("claim_lang"),
         F.when(has("booklet"), "A").otherwise("B").alias("task"), F.coalesce(text("$.booklet.language"), text("$.reference.language")).alias("source_lang"),
         text("$.booklet.path").alias("booklet_path"), text("$.reference.text").alias("reference_text"), bad.alias("error"),
     )
@@ -51,7 +58,11 @@ def checked(rows: DataFrame) -> DataFrame:
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """The requests of a file; fails with the earliest line's error, and on an empty file."""
-    rows = checked(lines(spark, path))
+    read = lines(spark, path)
+    broken = read.where("not utf8").orderBy("path", "line_no").select("path", "line_no").first()
+    if broken:
+        raise ValueError(f"{broken['path']}, line {broken['line_no']}: not UTF-8")
+    rows = checked(read)
     first = rows.where("error is not null").orderBy("line_no").select("line_no", "error").first()
     if first:
         raise ValueError(f"{path}, line {first['line_no']}: {first['error']}")
