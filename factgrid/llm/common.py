@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,9 +36,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of finished steps: it does so once the driver has collected their plans."""
+    """Lets Spark's cleaner delete the shuffle files of finished steps: it does so once the driver has collected their plans.
+
+    Without a JVM beside this process (Spark Connect) the server's own collections do it later.
+    """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if jvm := getattr(getattr(spark, "_sc", None), "_jvm", None):
+        jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,15 +69,15 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "bytes", limit: int =
             yield batch.slice(start), texts[start:]
 
 
-def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of the edges (src, dst); component is the smallest node reachable.
 
-    Alternating large-star and small-star rounds; each round is a shuffle of the edges, and what it
-    leaves is written to the shared folder. Nothing is collected but one count a round.
+    Alternating large-star and small-star rounds until a round changes nothing; each round is a shuffle of the edges, and what it
+    leaves is written to the shared folder. Nothing is collected but one count a round. The number of rounds follows the logarithm of the longest chain.
     """
     e = stored(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v").distinct(), name)
     before = None
-    for i in range(max_rounds):
+    for i in count():
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -6,20 +6,22 @@ shingle in their prefixes. Equal sets are one class; classes with the same prefi
 are posted under the shingles of their prefix.
 
 Documents that are linked through others need no test of their own. So each posted shingle first links its groups to one
-of them; what remains are pairs of classes whose components differ. Those in the shingle's largest component meet only
-the others, and a pair goes on if its sizes, the shingles shared in the prefixes and the bitmaps of the whole sets allow enough
-in common: bits that differ stand for a different shingle each. Then the whole sets decide. No link between different
-components is left out.
+of them. What remains are pairs of groups whose components differ, and for these the prefix filter is applied once more, to
+the shingles that are still posted: a pair has to share so many of them that the first one it shares, by their number of
+groups, lies near the front of both. That leaves out the widely posted shingles. Each pair of groups that is found goes on if the
+bitmaps of its sets (bits that differ stand for a different shingle each) and the shingles shared in the prefixes allow enough in
+common; then it is expanded to its members' pairs, and their whole sets decide. No link between different components is left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,8 +35,10 @@ TABLE_BITS = 18
 _PARTS = 32
 #: 64-bit words of a set's bitmap; a bit tells whether an odd number of the set's shingles fall on it.
 BITMAP = 8
-#: Rounds that link each posted shingle's groups to one of them before the rest is enumerated.
+#: Rounds that link each posted shingle's groups to one of them before the rest is looked at.
 ROUNDS = 2
+#: Groups that a group remembers to have been tested with, so that the last join needn't emit them; others are left out after it.
+REMEMBERED = 8
 
 
 def shingle_sets(texts: list[bytes], known: Words, size: int) -> list[np.ndarray]:
@@ -74,7 +78,7 @@ def count_table(docs: DataFrame, size: int = SHINGLE, bits: int = TABLE_BITS) ->
 
 
 def features(docs: DataFrame, table: np.ndarray, size: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), sig (128-bit hash of the set), pkey (hash of the prefix), prefix (shingles in the table's order), bitmap."""
+    """doc_id, n (set size), sig and pkey (128-bit hashes of the set and of the prefix), prefix (shingles in the table's order), bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(table)  # 2 ** TABLE_BITS numbers
     bits = len(table).bit_length() - 1
 
@@ -90,24 +94,26 @@ def features(docs: DataFrame, table: np.ndarray, size: int, percent: int) -> Dat
                 prefixes.append(s[np.lexsort((s, seen))[:keep]].view(np.int64))
             columns = [
                 part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                pa.array([xxhash.xxh3_64_intdigest(p.tobytes()) - (1 << 63) for p in prefixes], pa.int64()), pa.array(prefixes, pa.list_(pa.int64())),
+                pa.array([xxhash.xxh3_128_digest(p.tobytes()) for p in prefixes], pa.binary()), pa.array(prefixes, pa.list_(pa.int64())),
                 pa.array(maps, pa.list_(pa.int64())),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sig", "pkey", "prefix", "bitmap"])
 
-    return docs.select("doc_id", text_bytes()).mapInArrow(describe, "doc_id long, n long, sig binary, pkey long, prefix array<long>, bitmap array<long>")
+    return docs.select("doc_id", text_bytes()).mapInArrow(describe, "doc_id long, n long, sig binary, pkey binary, prefix array<long>, bitmap array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(id, shingles) of the wanted ids."""
+def _sets(docs: DataFrame, wanted: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """(id, shingles) of the wanted ids: of several texts with one doc_id, the one that stands for the class."""
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for part, texts in chunks(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(texts, known, size)], pa.binary())], names=["id", "shingles"])
+            raw = [s.tobytes() for s in shingle_sets(texts, known, size)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh3_128_digest(r) for r in raw], pa.binary()), pa.array(raw, pa.binary())], names=["id", "sig", "shingles"])
 
     own = docs.select("doc_id", text_bytes()).join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return own.dropDuplicates(["doc_id"]).mapInArrow(sets, "id long, shingles binary")
+    found = own.mapInArrow(sets, "id long, sig binary, shingles binary")
+    return found.join(members.select(F.col("cls").alias("id"), "sig"), ["id", "sig"], "left_semi").dropDuplicates(["id", "sig"]).select("id", "shingles")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -129,88 +135,168 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(verify, "src long, dst long")
 
 
+class Sizes:
+    """What set sizes allow: fits, whether sets of these sizes can be similar enough; needed, how many shingles their prefixes must share."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+
+    def fits(self, x: Column, y: Column) -> Column:
+        return (x * 100 >= y * self.percent) & (y * 100 >= x * self.percent)
+
+    def common(self, x: Column, y: Column) -> Column:
+        return F.ceil((x + y) * self.percent / (100 + self.percent))
+
+    def needed(self, x: Column, y: Column) -> Column:
+        """Of two sorted sets, the shingles that they share lie in both prefixes or behind one of them."""
+        behind = lambda n: F.ceil(n * self.percent / 100) - 1
+        return self.common(x, y) - F.greatest(behind(x), behind(y))
+
+
+def _spans(members: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """(gid, lo, hi): the least and the greatest component of a group's classes; without components each class is one."""
+    if comp is not None:
+        members = members.join(comp, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls"))
+    else:
+        members = members.withColumn("comp", F.col("cls"))
+    return members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+
+
+def _to_hubs(posts: DataFrame, spans: DataFrame, sizes: Sizes, k: int) -> DataFrame:
+    """(gid, to, shared): groups and the one that stands for a shingle they share, another in each round, where components differ.
+
+    First it is a group most of whose prefix others have too, which is likelier to be what they were copied from.
+    """
+    now = posts.join(spans, "gid")
+    order = [F.xxhash64("lo", F.lit(k)), F.xxhash64("gid", F.lit(k))] if k else [-F.col("common") / F.col("n")]
+    key = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), F.col("gid").alias("to"))
+    hubs = now.groupBy("shingle").agg(F.min(key)["to"].alias("to"))
+    sides = posts.select("gid", "n").distinct().join(spans, "gid").select(F.col("gid").alias("to"), F.col("n").alias("n_to"), F.col("lo").alias("lo_to"), F.col("hi").alias("hi_to"))
+    apart = ~((F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("lo_to")) & (F.col("lo") == F.col("hi_to")))
+    shared = now.join(hubs, "shingle").where("gid <> to").groupBy("gid", "to", "n", "lo", "hi").agg(F.count("*").alias("shared")).join(sides, "to")
+    enough = apart & sizes.fits(F.col("n"), F.col("n_to")) & (2 * F.col("shared") >= sizes.needed(F.col("n"), F.col("n_to")))
+    return shared.where(enough).select("gid", "to", "shared")
+
+
+def _open_posts(posts: DataFrame, spans: DataFrame, asked: DataFrame) -> DataFrame:
+    """Postings of the shingles that hold several components, with their rank among the group's (those with few groups first) and their number.
+
+    main marks the groups of a shingle's largest component, which needn't meet each other.
+    """
+    now = posts.select("gid", "n", "shingle").join(spans, "gid")
+    by = now.groupBy("shingle", "lo", "hi").agg(F.count("*").alias("c"))
+    most = F.max(F.when(F.col("lo") == F.col("hi"), F.struct("c", "lo")))
+    by = by.groupBy("shingle").agg(F.sum("c").alias("groups"), F.min("lo").alias("low"), F.max("hi").alias("high"), most["lo"].alias("largest")).where("low < high")
+    left = now.join(by.select("shingle", "groups", "largest"), "shingle").withColumn("main", F.coalesce((F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("largest")), F.lit(False)))
+    own = Window.partitionBy("gid")  # a document's prefix at most
+    left = left.withColumn("rank", F.row_number().over(own.orderBy("groups", "shingle"))).withColumn("posted", F.count("*").over(own)).drop("groups", "largest")
+    return left.join(asked, "gid", "left")
+
+
+def _open_pairs(left: DataFrame, sizes: Sizes) -> DataFrame:
+    """(a, b): pairs of groups in different components that may share as many posted shingles as they must."""
+    x, y = left.where("not main").alias("x"), left.alias("y")
+    n = F.col("x.n"), F.col("y.n")
+    once = F.col("y.main") | (F.col("x.gid") < F.col("y.gid"))
+    apart = ~((F.col("x.lo") == F.col("x.hi")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.lo") == F.col("y.hi")))
+    # of the c shingles that a pair shares, the first lies before the last c - 1 of either
+    front = lambda s: F.col(f"{s}.rank") <= F.col(f"{s}.posted") - sizes.needed(*n) + 1
+    new = lambda s, t: ~F.coalesce(F.array_contains(F.col(f"{s}.asked"), F.col(f"{t}.gid")), F.lit(False))
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & once & apart & sizes.fits(*n) & front("x") & front("y") & new("x", "y") & new("y", "x"))
+    return met.select(F.least("x.gid", "y.gid").alias("a"), F.greatest("x.gid", "y.gid").alias("b")).distinct()
+
+
+def _enough(pairs: DataFrame, groups: DataFrame, sizes: Sizes) -> DataFrame:
+    """The pairs of groups whose sets, by the bitmaps, and prefixes may share enough."""
+    side = lambda s: groups.select(*(F.col(c).alias(t) for c, t in (("gid", s), ("n", f"n_{s}"), ("bitmap", f"m_{s}"), ("alone", f"alone_{s}"), ("prefix", f"p_{s}"))))
+    both, n = pairs.join(side("a"), "a").join(side("b"), "b"), (F.col("n_a"), F.col("n_b"))
+    differ = sum((F.bit_count(F.col("m_a")[i].bitwiseXOR(F.col("m_b")[i])) for i in range(BITMAP)), F.lit(0))
+    close = ~F.col("alone_a") | ~F.col("alone_b") | (differ + 2 * sizes.common(*n) <= n[0] + n[1])
+    return both.where(close & (F.size(F.array_intersect("p_a", "p_b")) >= sizes.needed(*n))).select("a", "b")
+
+
+def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+
 def near_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id for every document.
 
     A-Z is lowered; words lie between ASCII white space. Documents link when 100 * intersection >= percent * union of
-    their sets. Null and empty texts have an empty set and link with nothing. component_id is the smallest doc_id
-    reachable. Rows with the same doc_id count as one document, known by one of its texts; rows with a null
-    doc_id link with nothing. An empty table gives no rows; other columns are ignored.
+    their sets, which is tested on whole numbers, so a tie links. Null and empty texts have an empty set and link with nothing.
+    Texts of any length are taken whole, and a task holds one batch of them. component_id is the smallest doc_id reachable. Rows with
+    the same doc_id count as one document: it has the links of each of its texts to equal ones and, of the classes that it is the smallest
+    doc_id of, those of the one with the smallest hash. Rows with a null doc_id link with nothing. An empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
+    spark, sizes = docs.sparkSession, Sizes(percent)
     known = stored(features(docs, count_table(docs, size), size, percent), "features")
     full = known.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("sig", "n", "pkey").agg(F.min("doc_id").alias("cls"))
-    maps = full.select(F.col("doc_id").alias("cls"), "bitmap").dropDuplicates(["cls"])
-    member = stored(full.select("doc_id", "sig", "n").join(classes.select("sig", "n", "cls"), ["sig", "n"]).select("doc_id", "cls"), "members")
-    groups = stored(full.groupBy("pkey", "n").agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix")), "groups")
-    members = stored(classes.select("cls", "n", "pkey").join(groups.select("pkey", "n", "gid"), ["pkey", "n"]).select("cls", "gid").dropDuplicates(["cls"]), "classes")
+    classes = stored(full.groupBy("sig", "n", "pkey").agg(F.min("doc_id").alias("cls")), "sets")
+    member = stored(full.select("doc_id", "sig").join(classes.select("sig", "cls"), "sig").select("doc_id", "cls"), "members")
+    nodes = classes.groupBy("cls").agg(F.min(F.struct("sig", "n", "pkey")).alias("s")).select("cls", "s.*")
+    by = nodes.groupBy("pkey", "n").agg(F.min("cls").alias("gid"), F.count("*").alias("size"))
+    members = stored(nodes.join(by, ["pkey", "n"]).select("cls", "sig", "gid", "size"), "classes")
+    heads = members.where("cls = gid").select(F.col("cls").alias("doc_id"), "sig", (F.col("size") == 1).alias("alone"))
+    groups = full.join(heads, ["doc_id", "sig"]).dropDuplicates(["doc_id", "sig"]).select(F.col("doc_id").alias("gid"), "n", "prefix", "bitmap", "alone")
+    groups, members = stored(groups, "groups"), members.select("cls", "sig", "gid")
     release(spark)
-    by = Window.partitionBy("shingle").orderBy("gid")
-    several = F.lag("gid").over(by).isNotNull() | F.lead("gid").over(by).isNotNull()
-    posts = groups.select("gid", "n", F.explode("prefix").alias("shingle")).withColumn("several", several).where("several").drop("several")
-    posts = stored(posts, "posts")
-    # a set most of whose prefix others have too is likelier to be what they were copied from
-    common = posts.groupBy("gid").agg(F.count("*").alias("common"))
-    posts = stored(posts.join(common, "gid"), "ranked")
+    each = groups.select("gid", "n", F.explode("prefix").alias("shingle"))
+    several = each.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle")
+    posts = stored(each.join(several, "shingle", "left_semi"), "posts")
+    posts = posts.join(posts.groupBy("gid").agg(F.count("*").alias("common")), "gid")
+    posts = stored(posts, "ranked")
     release(spark)
 
-    inner = members.where("cls <> gid").select(F.col("gid").alias("a"), F.col("cls").alias("b"))
-    fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-    # of two sorted sets, the shingles they share lie in both prefixes or behind one of them
-    behind = lambda x: F.ceil(F.col(x) * percent / 100) - 1
-    least = lambda x, y: F.ceil((F.col(x) + F.col(y)) * percent / (100 + percent)) - F.greatest(behind(x), behind(y))
-    needed = least("n_a", "n_b")
-    tested, edges, comp, sets = None, None, None, None
+    edges: list[DataFrame] = []
+    tested: list[DataFrame] = []
+    sets: list[DataFrame] = []
+    asked: list[DataFrame] = []
+    comp = None
     for k in range(rounds + 1):
-        now = posts.join(members, "gid").drop("gid")
-        now = now.withColumn("comp", F.col("cls")) if comp is None else now.join(comp, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
-        if k < rounds:  # to one of the shingle's documents, another in each round; what these leave out is looked at in the last
-            order = Window.partitionBy("shingle").orderBy(*([F.xxhash64("comp", F.lit(k)), F.xxhash64("cls", F.lit(k))] if k % 2 else [-F.col("common") / F.col("n"), F.col("cls")]))
-            one = now.withColumn("to", F.first(F.struct("cls", "comp", "n")).over(order)).where(F.col("comp") != F.col("to.comp"))
-            met = one.select(F.least("cls", "to.cls").alias("a"), F.greatest("cls", "to.cls").alias("b"), F.when(F.col("cls") < F.col("to.cls"), F.col("n")).otherwise(F.col("to.n")).alias("n_a"), F.when(F.col("cls") < F.col("to.cls"), F.col("to.n")).otherwise(F.col("n")).alias("n_b"))
-            enough, inside = 2 * F.col("shared") >= needed, inner if not k else None
+        spans = stored(_spans(members, comp), f"spans{k}")
+        if k < rounds:
+            hubs = stored(_to_hubs(posts, spans, sizes, k), f"hubs{k}")
+            asked.append(hubs.join(groups.where("alone").select(F.col("gid").alias("to")), "to", "left_semi"))
+            pairs = _ordered(hubs.join(members.select("cls", "gid"), "gid"), "cls", "to")
+            pairs = pairs if k else pairs.union(_ordered(members.where("cls <> gid"), "gid", "cls"))
         else:
-            own = Window.partitionBy("shingle")
-            left = now.withColumn("low", F.min("comp").over(own)).withColumn("high", F.max("comp").over(own)).where("low < high").drop("low", "high")
-            left = left.withColumn("here", F.count("*").over(Window.partitionBy("shingle", "comp"))).withColumn("main", F.max(F.struct("here", "comp")).over(own)["comp"] == F.col("comp")).drop("here")
-            left = stored(left.join(maps, "cls"), "open")
-            x, y = left.where("not main").alias("x"), left.alias("y")
-            once = F.col("y.main") | (F.col("x.cls") < F.col("y.cls"))
-            differ = sum((F.bit_count(F.col("x.bitmap")[i].bitwiseXOR(F.col("y.bitmap")[i])) for i in range(BITMAP)), F.lit(0))
-            close = differ + 2 * F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent)) <= F.col("x.n") + F.col("y.n")
-            met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & once & (F.col("x.comp") != F.col("y.comp")) & fits("x.n", "y.n") & (F.least("x.common", "y.common") >= least("x.n", "y.n")) & close)
-            first = F.col("x.cls") < F.col("y.cls")
-            met = met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), F.when(first, F.col("x.n")).otherwise(F.col("y.n")).alias("n_a"), F.when(first, F.col("y.n")).otherwise(F.col("x.n")).alias("n_b"))
-            enough, inside = F.col("shared") >= needed, _open_inner(members, comp)
-        pairs = met.where(fits("n_a", "n_b")).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared")).where(enough).select("a", "b")
-        pairs = pairs if inside is None else pairs.union(inside).distinct()
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"pairs{k}")
-        tested = pairs if tested is None else tested.union(pairs)
+            first = F.slice(F.sort_array(F.collect_set(F.struct("shared", "to")), asc=False), 1, REMEMBERED)
+            few = reduce(DataFrame.union, asked).groupBy("gid").agg(F.transform(first, lambda s: s["to"]).alias("asked")) if asked else posts.select("gid", F.array("gid").alias("asked")).limit(0)
+            left = stored(_open_posts(posts, spans, few), "open")
+            found = stored(_open_pairs(left, sizes), "met")
+            found = stored(_enough(found, groups, sizes), "enough")
+            now = members.select("cls", "gid") if comp is None else members.join(comp, F.col("cls") == F.col("node"), "left").select("cls", "gid", F.coalesce("component", "cls").alias("comp"))
+            now = now if comp is not None else now.withColumn("comp", F.col("cls"))
+            side = lambda s: now.select(F.col("gid").alias(s), F.col("cls").alias(f"cls_{s}"), F.col("comp").alias(f"comp_{s}"))  # noqa: B023, E731
+            pairs = _ordered(found.join(side("a"), "a").join(side("b"), "b").where("comp_a <> comp_b"), "cls_a", "cls_b").union(_inner(now))
+        pairs = pairs.distinct()
+        pairs = stored(pairs.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti") if tested else pairs, f"pairs{k}")
+        tested.append(pairs)
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        wanted = stored(wanted if sets is None else wanted.join(sets.select("id"), "id", "left_anti"), f"wanted{k}")
+        wanted = wanted.join(reduce(DataFrame.union, sets).select("id"), "id", "left_anti") if sets else wanted
+        wanted = stored(wanted, f"wanted{k}")
         release(spark)
-        more = stored(_sets(docs, wanted, size), f"sets{k}")
-        sets = more if sets is None else sets.union(more)
+        sets.append(stored(_sets(docs, wanted, members, size), f"sets{k}"))
         release(spark)
-        found = stored(_verified(pairs, sets, percent), f"links{k}")
-        edges = found if edges is None else edges.union(found)
-        comp = components(edges, f"components{k}-")
+        edges.append(stored(_verified(pairs, reduce(DataFrame.union, sets), percent), f"links{k}"))
+        comp = components(reduce(DataFrame.union, edges), f"components{k}-")
         release(spark)
     out = member.join(comp, F.col("cls") == F.col("node"), "left").select("doc_id", F.coalesce("component", "cls").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     return known.select("doc_id", "n").join(out, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _open_inner(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs of classes of one group whose components still differ."""
-    g = members.join(comp, F.col("cls") == F.col("node"), "left").select("cls", "gid", F.coalesce("component", "cls").alias("comp"))
-    own = Window.partitionBy("gid")
-    g = g.withColumn("low", F.min("comp").over(own)).withColumn("high", F.max("comp").over(own)).where("low < high")
+def _inner(now: DataFrame) -> DataFrame:
+    """(a, b): pairs of classes of one group whose components still differ."""
+    several = now.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gid")
+    g = now.join(several, "gid", "left_semi")
     x, y = g.alias("x"), g.alias("y")
     return x.join(y, (F.col("x.gid") == F.col("y.gid")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp"))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents that stay, one of each component, with all their columns; rows without a doc_id stay."""
+    """The documents that stay, one of each component, with all their columns; rows without a doc_id stay.
+
+    Of rows with the doc_id that stays all do.
+    """
     ids = near_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(ids, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))

@@ -123,3 +123,48 @@ def jaccard(docs, percent=80):
                 links.append((min(a, b), max(a, b)))
     comp = smallest_reachable(list(sets), links)
     return sorted((i, len(sets[i]), comp[i]) for i in sets)
+
+
+def fewest_bins(lengths, limit):
+    """By trying every bin for every length, longest first."""
+    lengths, best = sorted(lengths, reverse=True), [len(lengths)]
+
+    def go(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(rooms)
+            return
+        for j in {room: j for j, room in enumerate(rooms) if room >= lengths[i]}.values():
+            rooms[j] -= lengths[i]
+            go(i + 1, rooms)
+            rooms[j] += lengths[i]
+        go(i + 1, [*rooms, limit - lengths[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def kneser_ney(words, order, discount, base):
+    """Probability of a character after a context, from the definition, over words with marks around them."""
+    grams = defaultdict(int)
+    for w in words:
+        s = "\x02" * (order - 1) + w + "\x03"
+        for i in range(len(s) - order + 1):
+            grams[s[i : i + order]] += 1
+    levels = {order: dict(grams)}
+    for n in range(order - 1, 0, -1):
+        levels[n] = defaultdict(int)
+        for g in levels[n + 1]:
+            levels[n][g[1:]] += 1
+
+    def p(context, c):
+        n = len(context) + 1
+        below = p(context[1:], c) if n > 1 else base
+        own = {g: k for g, k in levels[n].items() if g[:-1] == context}
+        if not own:
+            return below
+        total = sum(own.values())
+        return max(own.get(context + c, 0) - discount, 0) / total + discount * len(own) / total * below
+
+    return p
