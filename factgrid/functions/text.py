@@ -27,6 +27,7 @@ def strip(c: Column) -> Column:
 # fixed values: characters that extractors leave inside words, marks of a word broken at a line end, a page's own number
 CONTROLS = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\ufffe\\ufeff]"
 BREAK_MARK = "[\\u00ad\\x02]"
+BREAK = f"[ \\t]*{BREAK_MARK}[ \\t]*\\n[ \\t]*|\\n[ \\t]*{BREAK_MARK}[ \\t]*\\n?[ \\t]*"
 PAGE_NUMBER = r"(?U)^\s*\d{1,3}\s*"
 
 
@@ -42,10 +43,7 @@ def is_filler(c: Column) -> Column:
 
 def join_hyphens(c: Column) -> Column:
     """Words broken at a line end joined, whether the mark ends the line or begins the next; other soft hyphens made visible, blank lines folded."""
-    blanks = "[ \\t]*"
-    for broken in (f"{blanks}{BREAK_MARK}{blanks}\\n{blanks}", f"\\n{blanks}{BREAK_MARK}{blanks}\\n?{blanks}"):
-        c = F.regexp_replace(c, broken, "")
-    lines = F.regexp_replace(F.translate(c, "\u00ad\x02", "-"), "\\n\\n\\n+", "\n\n")
+    lines = F.regexp_replace(F.translate(F.regexp_replace(c, BREAK, ""), "\u00ad\x02", "-"), "\\n\\n\\n+", "\n\n")
     return F.concat(strip(lines), F.lit("\n"))
 
 

@@ -30,7 +30,7 @@ def first_hits(citations: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     asked = citations.select("request", "place", F.col("chunk").alias("cited"), F.col("quote").alias("wanted")).where(F.length(text.strip(F.col("wanted"))) >= text.MIN_QUOTE_CHARS)
     held = chunks.select("request", "chunk", "page", "text")
-    cited = asked.join(held, (asked.request == held.request) & (asked.cited == held.chunk)).drop(held.request)
+    cited = asked.join(held.withColumnRenamed("request", "_of"), (F.col("request") == F.col("_of")) & (F.col("cited") == F.col("chunk"))).drop("_of")
     probed = cited.withColumn("hit", alignment("wanted", "text")).where(F.col("hit.score") >= MIN_SCORE)
     both = asked.join(probed.select("request", "place"), ["request", "place"], "left_anti").join(held, "request").where(~F.col("chunk").eqNullSafe(F.col("cited")))
     each = Window.partitionBy("request", "place")

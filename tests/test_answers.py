@@ -44,7 +44,7 @@ def test_best_chunks(spark):
 
 def test_evidence_hits(spark):
     gold = spark.createDataFrame([("a", "Die Kan-\ntone tragen"), ("b", "ganz anders"), ("c", None)], "id string, passage string")
-    cited = spark.createDataFrame([("a", "die  kantone tragen"), ("a", "nichts"), ("b", "Kosten"), ("c", "x")], "id string, quote string")
+    cited = spark.createDataFrame([("a", "die  kantone tragen"), ("a", "nichts"), ("b", "Kosten"), ("b", "ganz anders" + " x" * 2600), ("c", "x")], "id string, quote string")
     assert {r["id"]: r["hit"] for r in quotes.evidence_hits(gold, cited).collect()} == {"a": True, "b": False, "c": False}
 
 
@@ -61,6 +61,14 @@ def test_predictions(spark):
     assert (got[4]["label"], [e["text"] for e in got[4]["evidence"]], got[4]["error"]) == (2, ["Ein Satz ohne Zitat."], "no quote was found")
 
 
+def test_fallback_texts(spark):
+    """The claim itself chooses no chunk: only the answer's quotes and passage do."""
+    chunks = spark.createDataFrame([(1, 0, 1, "Der Rat spricht vom Passagentext des Bundes."), (1, 1, 2, "Die Behauptung steht hier Wort fuer Wort.")], "request int, chunk int, page int, text string")
+    requests = spark.createDataFrame([(1, "Die Behauptung steht hier Wort fuer Wort.")], "request int, claim string")
+    said = spark.createDataFrame([(1, answer(label="contradiction", passage_says="spricht vom Passagentext"))], "request int, answer string")
+    assert [e["page"] for e in predict.predictions(requests, chunks, said).first()["evidence"]] == [1]
+
+
 def test_prompts(spark):
     chunks = spark.createDataFrame([(1, 1, 2, None, "b"), (1, 0, None, "p", "a")], "request int, chunk int, page int, paragraph string, text string")
     got = predict.prompts(spark.createDataFrame([(1, "c", None)], "request int, claim string, vote string"), chunks).first()["payload"]
@@ -74,5 +82,8 @@ def test_page_texts(spark):
     ]
     df = spark.createDataFrame([("p", 1, *x[:1], x[1], x[2], 500.0, x[3]) for x in lines], "path string, page int, line_no int, left double, top double, page_width double, text string")
     got = layout.page_texts(df).first()["text"].split("\n")
-    assert got == ["Vorlage", "First paragraph begins", "and ends here.", "Second one hyphen-", "Not a label.", "Below all"]
+    assert got == ["Vorlage", "First paragraph begins", "and ends here.", "Second one hyphenNot a label.", "", "Below all", ""]
+    asks = [("q", 1, 0, 60.0, 500.0, 500.0, "Was ist neu?"), ("q", 1, 1, 200.0, 498.0, 500.0, "Stimm\u00ad"), ("q", 1, 2, 200.0, 480.0, 500.0, "recht\u00a0"), ("q", 1, 3, 60.0, 300.0, 500.0, "Ziel:")]
+    got = layout.page_texts(spark.createDataFrame(asks, "path string, page int, line_no int, left double, top double, page_width double, text string")).first()["text"]
+    assert got == "Was ist neu?\nStimmrecht\nZiel:\n"
     assert layout.page_texts(df.where(F.lit(False))).count() == 0

@@ -15,18 +15,38 @@ def test_intervals(spark):
 
 
 def test_page_text(spark):
-    df = spark.createDataFrame([("schweize\x02rische modifi￾cation\r\nnext",)], "t string")
-    assert df.select(text.clean_page(F.col("t"))).first()[0] == "schweizerische modification\r\nnext"
-    pages = [("17", True), ("28\nAus produktionstechnischen Gründen leer.\n", True), ("  ", True), ("29 Page laissée vide pour des raisons techniques.", True), ("8 Erste Vorlage: «Mehr bezahlbare Wohnungen»\nIm Detail\n" + "x" * 40, False)]
-    got = spark.createDataFrame(pages, "t string, want boolean").select(text.is_filler(F.col("t")).alias("got"), "want").collect()
-    assert all(r["got"] == r["want"] for r in got)
+    """Control characters go, tabs and line ends stay; a page counts by what is left of it besides its number."""
+    given = "Gemein\x02de\x00rat\t2024\ufeff\r\nbudget\x1f\n"
+    assert spark.createDataFrame([(given,)], "t string").select(text.clean_page(F.col("t"))).first()[0] == "Gemeinderat\t2024\r\nbudget\n"
+    forty_nine, fifty = "Il Comune paga le strade e i ponti del suo paese. "[:49], "Il Comune paga le strade e i ponti del suo paesi ok"[:50]
+    pages = [("", True), ("\n\u00a0\n", True), ("104", True), (f"7 {forty_nine}", True), (f"\n 112\n{fifty}  ", False), (fifty, False), ("2024 " + "x" * 46, True), ("2024 " + "x" * 50, False)]
+    got = spark.createDataFrame(pages, "t string, want boolean").select("t", text.is_filler(F.col("t")).alias("got"), "want").collect()
+    assert not [r for r in got if r["got"] != r["want"]]
+
+
+def test_hyphens(spark):
+    rows = [("Gesetz\u00ad\ngebung", "Gesetzgebung\n"), ("Gesetz \x02 \n  gebung", "Gesetzgebung\n"), ("loi\n\u00ad\nfédérale", "loifédérale\n"), ("a\u00adb\x02c", "a-bc\n"), ("\n\na\n\n\n\nb\n", "a\n\nb\n"), ("plain-\nline", "plain-\nline\n")]
+    got = spark.createDataFrame(rows, "t string, want string").select(text.join_hyphens(F.col("t")).alias("got"), "want").collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
 
 
 def test_choose_page(spark):
-    long = "Der ganze Absatz steht nur im zweiten Text. " * 5
-    rows = [("Nein\n", long, long), (long, long, long), (long, "", long)]
-    got = spark.createDataFrame(rows, "a string, b string, want string").select(text.choose_page(F.col("a"), F.col("b")).alias("got"), "want").collect()
-    assert all(r["got"] == r["want"] for r in got)
+    """The second text wins only by more than 100 characters and by over 15 % of windows of ten that are new."""
+    first, more = "La Confédération soutient les cantons.", " Un fonds nouveau paie les routes, les écoles et les hôpitaux de montagne, dit le Conseil fédéral dans son message."
+    repeated, long = first + " " + first * 4, " ".join(f"Article {k} du titre {k * 7}." for k in range(60))
+    rows = [(first, first + more, True), (first, first + more[:90], False), (first, repeated[:139], False), (first * 9, first * 9 + more, True), (first, "", False), ("", first + more, True), (long, long + more, False)]
+    got = spark.createDataFrame(rows, "a string, b string, second boolean").select("a", "b", text.choose_page(F.col("a"), F.col("b")).alias("got"), "second").collect()
+    assert not [r for r in got if r["got"] != (r["b"] if r["second"] else r["a"])]
+
+
+def test_texts_and_vectors(spark):
+    df = spark.createDataFrame([("c", "v", "p" * 3000, [3.0, 4.0])], "claim string, vote string, page string, vec array<double>")
+    r = df.select(text.query(F.col("claim"), F.col("vote")), text.query(F.lit(""), F.col("vote")), text.query(F.col("claim"), F.lit(None)), text.passage(F.col("page")), text.unit(F.col("vec"))).first()
+    assert r[:3] == ("query: c v", "query: v", "query: c") and len(r[3]) == 9 + 2500 and r[4] == pytest.approx([0.6, 0.8])
+    urls = spark.createDataFrame([("https://x.ch/a/Heft%20+1.v2.pdf?d=1",), ("https://x.ch/",)], "u string").select(text.booklet_file(F.col("u"))).collect()
+    assert urls[0][0].startswith("Heft_1.v2__") and urls[1][0].startswith("booklet__") and all(len(u[0].split("__")[1]) == 68 for u in urls)
+    ms = spark.range(1).select(text.elapsed_ms(F.lit(2.0), F.lit(1.9995)), text.elapsed_ms(F.lit(1.0), F.lit(3.0)), text.elapsed_ms(F.lit(0.0025), F.lit(0.0))).first()
+    assert tuple(ms) == (0, 0, 2)
 
 
 def test_vote_title(spark):
@@ -66,3 +86,22 @@ def test_read_requests(spark, tmp_path):
     (tmp_path / "b.jsonl").write_text("\n".join([line % "7", line % "7"]))
     with pytest.raises(ValueError, match="line 2: duplicate id"):
         requests.read_requests(spark, str(tmp_path / "b.jsonl"))
+    (tmp_path / "c.jsonl").write_bytes((line % "1").encode() + b"\n\xff\xfe\n")
+    with pytest.raises(ValueError, match="line 2: not UTF-8"):
+        requests.read_requests(spark, str(tmp_path / "c.jsonl"))
+    (tmp_path / "d.jsonl").write_text("\n \n")
+    with pytest.raises(ValueError, match="no requests"):
+        requests.read_requests(spark, str(tmp_path / "d.jsonl"))
+
+
+def test_lines_of_splits(spark, tmp_path):
+    """Numbers count on over the splits of a file and begin anew in each file, blank lines counted."""
+    for name in "ab":
+        (tmp_path / f"{name}.jsonl").write_text("".join(f"{name}{k}\r\n" if k % 7 else "\n" for k in range(1, 4001)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = requests.lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r["path"][-7], r["line_no"], r["raw"]) for r in got) == sorted((name, k, f"{name}{k}") for name in "ab" for k in range(1, 4001) if k % 7)
