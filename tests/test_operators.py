@@ -33,8 +33,8 @@ def test_hyphens(spark):
 def test_choose_page(spark):
     """The second text wins only by more than 100 characters and by over 15 % of windows of ten that are new."""
     first, more = "La Confédération soutient les cantons.", " Un fonds nouveau paie les routes, les écoles et les hôpitaux de montagne, dit le Conseil fédéral dans son message."
-    repeated, long = first + " " + first * 4, " ".join(f"Article {k} du titre {k * 7}." for k in range(60))
-    rows = [(first, first + more, True), (first, first + more[:90], False), (first, repeated[:139], False), (first * 9, first * 9 + more, True), (first, "", False), ("", first + more, True), (long, long + more, False)]
+    long = " ".join(f"Article {k} du titre {k * 7}." for k in range(60))
+    rows = [(first, first + more, True), (first, first + more[:90], False), (first * 9, first * 9 + more, True), (first, "", False), ("", first + more, True), (long, long + more, False)]
     got = spark.createDataFrame(rows, "a string, b string, second boolean").select("a", "b", text.choose_page(F.col("a"), F.col("b")).alias("got"), "second").collect()
     assert not [r for r in got if r["got"] != (r["b"] if r["second"] else r["a"])]
 
