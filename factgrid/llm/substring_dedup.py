@@ -42,6 +42,16 @@ def levels(window: int) -> list[int]:
     return out
 
 
+def sliding_min(h: np.ndarray, span: int) -> np.ndarray:
+    """The least of each `span` neighbours, by windows of twice the width in each step."""
+    out, width = h, 1
+    while width < span:
+        step = min(width, span - width)
+        out = np.minimum(out[:-step], out[step:])
+        width += step
+    return out
+
+
 class Picks:
     """A text's windows of each level that stand for its full windows."""
 
@@ -89,7 +99,7 @@ def described(docs: DataFrame, window: int) -> DataFrame:
                 words = t.split()
                 n.append(len(words))
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                found.append(np.unique(Picks(known.of(words), window).extend(first)).view(np.int64) if len(words) >= window else np.zeros(0, np.int64))
+                found.append(np.unique(sliding_min(windows(known.of(words), first), window - first + 1)).view(np.int64) if len(words) >= window else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sha), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "tid", "n_words", "kept_sha256", "picks"])
 
     return _rows(docs).mapInArrow(describe, "doc_id long, tid long, n_words long, kept_sha256 string, picks array<long>")
