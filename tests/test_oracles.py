@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-D = "/root/testdata/sf0.001"
+D = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
