@@ -237,7 +237,7 @@ SELECT url, 'pdf/' || CASE WHEN any_value(stem) = '' THEN 'booklet' ELSE left(an
         "usage": f"""WITH {_EVALUATED} SELECT m AS metric, round(sum(v) / (SELECT count(*) FROM e), 6) AS mean FROM (SELECT 'input_tokens' AS m, CASE WHEN once AND doc_id % 7 <> 0 THEN n_chars ELSE 0 END AS v FROM e UNION ALL
   SELECT 'output_tokens', CASE WHEN once AND doc_id % 5 <> 0 THEN 2 ELSE 0 END FROM e UNION ALL SELECT 'inference_time_ms', CASE WHEN once THEN (doc_id % 100) / 2.0 ELSE 0 END FROM e) GROUP BY m""",
         "task_report": f"""WITH {_EVALUATED}, {_F1.format(by="task")},
-  q AS (SELECT count(*) AS evidence_cases, count_if(once AND doc_id % 2 = 0 AND regexp_matches(substring(text, 11, 40), '\S')) AS found FROM e WHERE task = 'A' AND label <> 1)
+  q AS (SELECT count(*) AS evidence_cases, count_if(once AND doc_id % 2 = 0 AND regexp_matches(substring(text, 11, 40), '\\S')) AS found FROM e WHERE task = 'A' AND label <> 1)
 SELECT e.task, count(*) AS cases, any_value(f.macro_f1) AS macro_f1, round(avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END), 9) AS accuracy, CASE e.task WHEN 'A' THEN 0.6 WHEN 'B' THEN 0.7 END::DOUBLE AS threshold,
   any_value(f.macro_f1) >= CASE e.task WHEN 'A' THEN 0.6 WHEN 'B' THEN 0.7 END::DOUBLE AS passes, CASE WHEN e.task = 'A' THEN (SELECT evidence_cases FROM q) END AS evidence_cases,
   CASE WHEN e.task = 'A' THEN (SELECT found FROM q) END AS found, CASE WHEN e.task = 'A' THEN (SELECT round(found / evidence_cases, 9) FROM q) END AS evidence_score FROM e JOIN f USING (task) GROUP BY e.task""",
