@@ -7,8 +7,8 @@ without survivors ends the job. On the last level the full windows themselves ar
 owns windows around its survivor, which finds the smallest document of each. Two windows are equal if their own hash and that of the survivor
 inside are, 128 bits together.
 
-A window that many documents of a batch share is settled within the batch: only its smallest document there is sent on, and the
-windows around one survivor are dealt to several owners.
+A window that many documents of a batch share is settled within the batch: only its smallest document there is sent on. The
+windows around one survivor have one owner; those around a survivor that many documents have are dealt to several.
 """
 
 from __future__ import annotations
@@ -28,10 +28,13 @@ from .shingles import Words, mixed, windows
 WINDOW = 50
 #: Words of a window of the first level, at least.
 SHORTEST = 12
-#: Owners among which the full windows around one survivor are dealt, by their hash.
+#: Owners among which the full windows around a survivor that more than COMMON documents have are dealt, by their hash.
 OWNERS = 4
+COMMON = 256
 #: Windows that a task compares at a time; the windows of one owner's key are compared together.
 MOST_AT_ONCE = 200_000
+#: Repeats that a task gathers by document before it sends them on.
+MOST_FOUND = 2_000_000
 
 
 def levels(window: int) -> list[int]:
@@ -141,7 +144,8 @@ def _extended(flagged: DataFrame, window: int) -> DataFrame:
             for i, t in enumerate(texts):
                 picks = _picked(t, _survivors(part, i), window, known)
                 own = windows(picks.words, window)[picks.starts]
-                key.append(mixed(picks.hashes + own % np.uint64(OWNERS)) if len(picks.hashes) else own)
+                owners = np.where(np.isin(picks.hashes, part.column(4)[i].values.to_numpy().view(np.uint64)), np.uint64(OWNERS), np.uint64(1))
+                key.append(mixed(picks.hashes + own % owners) if len(picks.hashes) else own)
                 full.append(own)
                 row.append(np.full(len(own), i))
                 at.append(picks.starts)
@@ -154,7 +158,7 @@ def _extended(flagged: DataFrame, window: int) -> DataFrame:
             yield _lists(doc[row[repeat]], tid[row[repeat]], doc[row[repeat]], at[repeat], None)
             yield _lists(key[~repeat].view(np.int64), tid[row[~repeat]], doc[row[~repeat]], at[~repeat], full[~repeat])
 
-    return flagged.select("doc_id", "tid", "bytes", "alive").mapInArrow(extend, "key long, tid long, doc_id long, at binary, hashes binary")
+    return flagged.select("doc_id", "tid", "bytes", "alive", "common").mapInArrow(extend, "key long, tid long, doc_id long, at binary, hashes binary")
 
 
 def _least(doc: np.ndarray, full: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -180,6 +184,7 @@ def _lists(key: np.ndarray, tid: np.ndarray, doc: np.ndarray, at: np.ndarray, fu
 def _repeats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, tid, at) of the windows that a smaller document has too; rows come sorted by key, and those of a key are compared together."""
     waiting: list[pa.RecordBatch] = []
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
     for batch in batches:
         done = batch.filter(batch.column(4).is_null())
@@ -194,17 +199,26 @@ def _repeats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting.append(batch.slice(0, cut))
             size += batch.column(3).nbytes
             if size > 4 * MOST_AT_ONCE:
-                yield from _compare(waiting)
+                found.append(_compare(waiting))
                 waiting, size = [], 0
+                if sum(len(at) for *_, at in found) > MOST_FOUND:
+                    yield _by_document(found)
+                    found = []
             batch = batch.slice(cut)
         waiting.append(batch)
-    yield from _compare(waiting)
+    if waiting:
+        yield _by_document([*found, _compare(waiting)])
 
 
-def _compare(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_document(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    doc, tid, at = (np.concatenate(x) for x in zip(*found))
+    out = _lists(doc, tid, doc, at, None)
+    return pa.RecordBatch.from_arrays([out.column(2), out.column(1), out.column(3)], names=["doc_id", "tid", "at"])
+
+
+def _compare(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc_id, tid and place of each window of the parts that a smaller document has too."""
     parts = [p for p in parts if p.num_rows]
-    if not parts:
-        return
     key, tid, doc = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in (0, 1, 2))
     places = [np.frombuffer(x, np.int32) for p in parts for x in p.column(3).to_pylist()]
     full = np.concatenate([np.frombuffer(x, np.uint64) for p in parts for x in p.column(4).to_pylist()])
@@ -212,9 +226,7 @@ def _compare(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((doc[row], key[row], full))
     row, at = row[order], at[order]
     repeat = doc[row] > _least(doc[row], full[order], key[row])
-    if repeat.any():
-        out = _lists(doc[row[repeat]], tid[row[repeat]], doc[row[repeat]], at[repeat], None)
-        yield pa.RecordBatch.from_arrays([out.column(2), out.column(1), out.column(3)], names=["doc_id", "tid", "at"])
+    return doc[row[repeat]], tid[row[repeat]], at[repeat]
 
 
 def _covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -230,12 +242,13 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     picks, flagged = scan.where("doc_id is not null").select(*row, "picks"), None
     for level in range(len(levels(window)) - 1):
         each = picks.select(*row, F.explode("picks").alias("pick"))
-        twice = each.groupBy("pick").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("pick")
-        hit = each.join(twice, "pick").groupBy(*row).agg(F.collect_set("pick").alias("now"))  # a text's own at most
+        twice = each.groupBy("pick").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
+        twice = twice.where("least < most").select("pick", F.when(F.col("n") > COMMON, F.col("pick")).alias("often"))
+        hit = each.join(twice, "pick").groupBy(*row).agg(F.collect_set("pick").alias("now"), F.collect_set("often").alias("common"))  # a text's own at most
         if flagged is None:
-            flagged = _rows(docs).join(hit, row).dropDuplicates(row).select(*row, "bytes", F.array("now").alias("alive"))
+            flagged = _rows(docs).join(hit, row).dropDuplicates(row).select(*row, "bytes", F.array("now").alias("alive"), "common")
         else:
-            flagged = flagged.join(hit, row).select(*row, "bytes", F.concat("alive", F.array("now")).alias("alive"))
+            flagged = flagged.drop("common").join(hit, row).select(*row, "bytes", F.concat("alive", F.array("now")).alias("alive"), "common")
         flagged = stored(flagged, f"survivors{level}")
         release(docs.sparkSession)
         if flagged.isEmpty():
@@ -243,7 +256,7 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
         if level + 2 < len(levels(window)):
             picks = stored(_next_level(flagged, window, level + 1), f"picks{level + 1}")
     if flagged is None:  # a window too short to halve: all full windows are compared
-        flagged = _rows(docs).where("doc_id is not null").dropDuplicates(row).select(*row, "bytes", F.array().cast("array<array<long>>").alias("alive"))
+        flagged = _rows(docs).where("doc_id is not null").dropDuplicates(row).select(*row, "bytes", F.array().cast("array<array<long>>").alias("alive"), F.array().cast("array<long>").alias("common"))
     at = _extended(flagged, window).repartition("key").sortWithinPartitions("key").mapInArrow(_repeats, "doc_id long, tid long, at binary")
     return scan, flagged.select(*row, "bytes").join(at.groupBy(*row).agg(F.collect_list("at").alias("at")), row)
 

@@ -80,8 +80,10 @@ def test_exact_collisions(spark, monkeypatch):
         assert {(r["text_sha256"], r["chain"]) for r in got.collect()}.__len__() == 5 and got.agg({"chain": "max"}).first()[0] == 3
 
 
-def test_substring_levels(spark):
-    """Stretches just shorter and just longer than the window, copies, and windows too short to halve."""
+@pytest.mark.parametrize("common", [substring_dedup.COMMON, 3])
+def test_substring_levels(spark, monkeypatch, common):
+    """Stretches just shorter and just longer than the window, copies, and windows too short to halve; survivors that many have get several owners."""
+    monkeypatch.setattr(substring_dedup, "COMMON", common)
     r = random.Random(9)
     word = lambda: f"w{r.randrange(4000)}"
     shared = {n: [word() for _ in range(n)] for n in (12, 25, 49, 50, 51, 120)}
