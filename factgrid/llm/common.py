@@ -72,22 +72,20 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "bytes", limit: int =
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of the edges (src, dst); component is the smallest node reachable.
 
-    Alternating large-star and small-star rounds until a round changes nothing; each round is a shuffle of the edges, and what it
-    leaves is written to the shared folder. Nothing is collected but one count a round. The number of rounds follows the logarithm of the longest chain.
+    Alternating large-star and small-star rounds until only stars are left: no node points to two others or is pointed to while it
+    points itself. What a round leaves is written to the shared folder. Nothing is collected but one count a round. The number of rounds
+    follows the logarithm of the longest chain; edges that are stars already take none. Edges to itself or null are left out.
     """
-    e = stored(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v").distinct(), name)
-    before = None
+    e = stored(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), name)
     for i in count():
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(e.select("v", F.lit(0), F.lit(1)))
+        busy = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out = 1 and into = 1)")
+        if not busy.agg(F.count("*")).first()[0]:
+            break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("x"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("x"))
         e = stored(small.select(F.col("x.a").alias("u"), F.col("x.b").alias("v")).where("u <> v").distinct(), f"{name}{i}")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    roots = e.groupBy("u").agg(F.min("v").alias("component"))
-    return roots.select(F.col("u").alias("node"), "component").union(roots.select("component", "component").distinct())
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())

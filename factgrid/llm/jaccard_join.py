@@ -154,12 +154,12 @@ class Sizes:
 
 
 def _spans(members: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """(gid, lo, hi): the least and the greatest component of a group's classes; without components each class is one."""
+    """(gid, n, lo, hi): set size, and the least and the greatest component of a group's classes; without components each class is one."""
     if comp is not None:
         members = members.join(comp, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls"))
     else:
         members = members.withColumn("comp", F.col("cls"))
-    return members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return members.groupBy("gid").agg(F.max("n").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
 
 
 def _to_hubs(posts: DataFrame, spans: DataFrame, sizes: Sizes, k: int) -> DataFrame:
@@ -167,11 +167,11 @@ def _to_hubs(posts: DataFrame, spans: DataFrame, sizes: Sizes, k: int) -> DataFr
 
     First it is a group most of whose prefix others have too, which is likelier to be what they were copied from.
     """
-    now = posts.join(spans, "gid")
+    now = posts.drop("n").join(spans, "gid")
     order = [F.xxhash64("lo", F.lit(k)), F.xxhash64("gid", F.lit(k))] if k else [-F.col("common") / F.col("n")]
     key = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), F.col("gid").alias("to"))
     hubs = now.groupBy("shingle").agg(F.min(key)["to"].alias("to"))
-    sides = posts.select("gid", "n").distinct().join(spans, "gid").select(F.col("gid").alias("to"), F.col("n").alias("n_to"), F.col("lo").alias("lo_to"), F.col("hi").alias("hi_to"))
+    sides = spans.select(F.col("gid").alias("to"), F.col("n").alias("n_to"), F.col("lo").alias("lo_to"), F.col("hi").alias("hi_to"))
     apart = ~((F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("lo_to")) & (F.col("lo") == F.col("hi_to")))
     shared = now.join(hubs, "shingle").where("gid <> to").groupBy("gid", "to", "n", "lo", "hi").agg(F.count("*").alias("shared")).join(sides, "to")
     enough = apart & sizes.fits(F.col("n"), F.col("n_to")) & (2 * F.col("shared") >= sizes.needed(F.col("n"), F.col("n_to")))
@@ -183,7 +183,7 @@ def _open_posts(posts: DataFrame, spans: DataFrame, asked: DataFrame) -> DataFra
 
     main marks the groups of a shingle's largest component, which needn't meet each other.
     """
-    now = posts.select("gid", "n", "shingle").join(spans, "gid")
+    now = posts.select("gid", "shingle").join(spans, "gid")
     by = now.groupBy("shingle", "lo", "hi").agg(F.count("*").alias("c"))
     most = F.max(F.when(F.col("lo") == F.col("hi"), F.struct("c", "lo")))
     by = by.groupBy("shingle").agg(F.sum("c").alias("groups"), F.min("lo").alias("low"), F.max("hi").alias("high"), most["lo"].alias("largest")).where("low < high")
@@ -235,10 +235,10 @@ def near_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     member = stored(full.select("doc_id", "sig").join(classes.select("sig", "cls"), "sig").select("doc_id", "cls"), "members")
     nodes = classes.groupBy("cls").agg(F.min(F.struct("sig", "n", "pkey")).alias("s")).select("cls", "s.*")
     by = nodes.groupBy("pkey", "n").agg(F.min("cls").alias("gid"), F.count("*").alias("size"))
-    members = stored(nodes.join(by, ["pkey", "n"]).select("cls", "sig", "gid", "size"), "classes")
+    members = stored(nodes.join(by, ["pkey", "n"]).select("cls", "sig", "gid", "n", "size"), "classes")
     heads = members.where("cls = gid").select(F.col("cls").alias("doc_id"), "sig", (F.col("size") == 1).alias("alone"))
     groups = full.join(heads, ["doc_id", "sig"]).dropDuplicates(["doc_id", "sig"]).select(F.col("doc_id").alias("gid"), "n", "prefix", "bitmap", "alone")
-    groups, members = stored(groups, "groups"), members.select("cls", "sig", "gid")
+    groups, members = stored(groups, "groups"), members.select("cls", "sig", "gid", "n")
     release(spark)
     each = groups.select("gid", "n", F.explode("prefix").alias("shingle"))
     several = each.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle")
@@ -247,7 +247,6 @@ def near_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     posts = stored(posts, "ranked")
     release(spark)
 
-    edges: list[DataFrame] = []
     tested: list[DataFrame] = []
     sets: list[DataFrame] = []
     asked: list[DataFrame] = []
@@ -278,8 +277,8 @@ def near_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
         release(spark)
         sets.append(stored(_sets(docs, wanted, members, size), f"sets{k}"))
         release(spark)
-        edges.append(stored(_verified(pairs, reduce(DataFrame.union, sets), percent), f"links{k}"))
-        comp = components(reduce(DataFrame.union, edges), f"components{k}-")
+        links = stored(_verified(pairs, reduce(DataFrame.union, sets), percent), f"links{k}")
+        comp = components(links if comp is None else links.union(comp), f"components{k}-")
         release(spark)
     out = member.join(comp, F.col("cls") == F.col("node"), "left").select("doc_id", F.coalesce("component", "cls").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     return known.select("doc_id", "n").join(out, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
