@@ -8,8 +8,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factgrid.llm import embedding_join, exact_dedup, jaccard_join, language_id, packing, quality_fm, secret_scan, source_mix, substring_dedup, warc
+from factgrid.llm.common import components
 from factgrid.llm.registry import tokenizer
 
 from . import brute
@@ -437,3 +439,16 @@ def test_empty(spark):
 
     for stage in (corpus_pipeline.exact, corpus_pipeline.near, corpus_pipeline.mix, corpus_pipeline.pack):
         assert stage(spark, empty, "").count() == 0, stage
+
+
+def test_components(spark):
+    """Chains, stars, rings, repeated edges and edges to itself or null; stars alone take no round."""
+    chain = [(k, k + 1) for k in range(40)]
+    star = [(100, 100 + k) for k in range(1, 9)] + [(103, 100), (101, 100)]
+    ring = [(200 + k, 200 + (k + 3) % 10) for k in range(10)]
+    edges = spark.createDataFrame(chain + star + ring + [(300, 300), (301, None)], "src long, dst long")
+    got = sorted(map(tuple, components(edges).collect()))
+    assert got == [(k, 0) for k in range(41)] + [(k, 100) for k in range(100, 109)] + [(k, 200) for k in range(200, 210)]
+    again = components(components(edges).select(F.col("component").alias("src"), F.col("node").alias("dst")))
+    assert sorted(map(tuple, again.collect())) == got
+    assert components(edges.limit(0)).count() == 0
