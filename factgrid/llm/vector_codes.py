@@ -72,8 +72,8 @@ def renewed(x: np.ndarray, book: np.ndarray, moved: np.ndarray, near: np.ndarray
     return near, dist
 
 
-def _matrix(column: pa.Array, width: int, kind) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(-1, width)
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).reshape(len(column), width)
 
 
 def assigned(rows: DataFrame, books: np.ndarray, moved: np.ndarray | None) -> DataFrame:
@@ -86,11 +86,11 @@ def assigned(rows: DataFrame, books: np.ndarray, moved: np.ndarray | None) -> Da
         for whole in batches:
             for at in range(0, whole.num_rows, size):
                 batch = whole.slice(at, size)
-                x = _matrix(batch.column(2), parts * width, np.int64).reshape(batch.num_rows, parts, width)
+                x = _matrix(batch.column(2), parts * width).reshape(batch.num_rows, parts, width)
                 if moved is None:
                     found = [nearest(x[:, p], books[p]) for p in range(parts)]
                 else:
-                    near, dist = _matrix(batch.column(3), parts, np.int64), _matrix(batch.column(4), parts, np.int64)
+                    near, dist = _matrix(batch.column(3), parts), _matrix(batch.column(4), parts)
                     found = [renewed(x[:, p], books[p], moved[p], near[:, p], dist[:, p]) for p in range(parts)]
                 new = [np.stack([f[k] for f in found], 1).ravel() for k in (0, 1)]
                 ends = np.arange(0, parts * (batch.num_rows + 1), parts, dtype=np.int32)
@@ -107,8 +107,8 @@ def updated(state: DataFrame, books: np.ndarray) -> np.ndarray:
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total = np.zeros(parts * entries, np.int64), np.zeros((parts * entries, width), np.int64)
         for batch in batches:
-            x = _matrix(batch.column(0), parts * width, np.int64).reshape(-1, width)
-            cell = (_matrix(batch.column(1), parts, np.int64) + np.arange(parts) * entries).ravel()
+            x = _matrix(batch.column(0), parts * width).reshape(-1, width)
+            cell = (_matrix(batch.column(1), parts) + np.arange(parts) * entries).ravel()
             n += np.bincount(cell, minlength=len(n))
             order = np.argsort(cell, kind="stable")
             used, first = np.unique(cell[order], return_index=True)
@@ -130,7 +130,7 @@ def first_books(rows: DataFrame, parts: int, entries: int) -> np.ndarray:
     """Those parts of the vectors with the smallest vec_ids; of equal ids by their numbers, null ids last; fewer entries where there are fewer vectors."""
     first = rows.orderBy(F.col("vec_id").asc_nulls_last(), "x").limit(entries).select("x").collect()
     x = np.array([r["x"] for r in first], np.int64)
-    return x.reshape(len(first), parts, -1).transpose(1, 0, 2)
+    return x.reshape(len(first), parts, x.shape[1] // parts).transpose(1, 0, 2)
 
 
 def digest(books: np.ndarray) -> str:
