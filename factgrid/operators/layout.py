@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factgrid.functions.text import BREAK_MARK, join_hyphens, strip
+from factgrid.operators import segmented
 from factgrid.operators.intervals import blocks
 
 # fixed values: the page format's distances in points, the margin's share of the width, the longest label
@@ -47,17 +48,19 @@ def place_hyphens(lines: DataFrame) -> DataFrame:
 def label_anchors(lines: DataFrame) -> DataFrame:
     """(path, page, block, label, at): label blocks and the place of the first main line not above them by more than ANCHOR.
 
-    at is the line's place in reading order (from 1), null where all main lines are above; one sort per page, no range join.
+    at is the line's place in reading order (from 1), null where all main lines are above; two running values, no range join.
     """
     key = F.struct(*_PAGE)
     marked = blocks(lines.where("is_label").withColumn("_p", key), "_p", "top", BLOCK_GAP)
     words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("top")).alias("d"), "line_no", "text"))), lambda x: x["text"]), " ")
     label = marked.groupBy(*_PAGE, "block").agg(F.max("top").alias("y"), F.regexp_replace(words, BREAK_MARK + "\\s*", "").alias("label"))
-    order = Window.partitionBy(*_PAGE).orderBy(-F.bround("top"), "left", "line_no")
-    mains = lines.where("not is_label").select(*_PAGE, F.col("top").alias("y"), F.row_number().over(order).alias("pos"))
-    both = mains.withColumn("block", F.lit(None).cast("int")).withColumn("label", F.lit(None).cast("string")).unionByName(label.withColumn("y", F.col("y") + ANCHOR), allowMissingColumns=True)
-    upto = Window.partitionBy(*_PAGE).orderBy("y").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("at", F.min("pos").over(upto)).where("block is not null").select(*_PAGE, "block", "label", "at")
+    reading = [-F.bround("y"), F.col("left"), F.col("line_no")]
+    mains = lines.where("not is_label").select(*_PAGE, F.col("top").cast("double").alias("y"), "left", "line_no")
+    mains = segmented.scanned(segmented.dealt(mains, reading, _PAGE), reading, {"earlier": segmented.running_count()}, _PAGE).select(*_PAGE, "y", (F.col("earlier") + 1).alias("pos"))
+    both = mains.withColumn("block", F.lit(None).cast("long")).withColumn("label", F.lit(None).cast("string")).unionByName(label.select(*_PAGE, (F.col("y") + ANCHOR).alias("y"), F.col("block").cast("long"), "label"), allowMissingColumns=True)
+    upwards = [F.col("y"), F.col("block")]  # main lines, which have no block, before a label at their height
+    both = segmented.scanned(segmented.dealt(both, upwards, _PAGE), upwards, {"at": segmented.running_min(F.col("pos"))}, _PAGE)
+    return both.where("block is not null").select(*_PAGE, "block", "label", "at")
 
 
 def page_texts(lines: DataFrame) -> DataFrame:
