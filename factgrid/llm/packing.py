@@ -15,6 +15,7 @@ import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from .common import chunks, stored, text_bytes
 
 LIMIT = 4096
 END_ID = 1
-#: Words, and parts of words, whose ids a Python worker keeps; beyond that it forgets them all.
-MOST_WORDS = 400_000
+#: Words, and parts of words, whose ids a Python worker keeps, and as many older ones.
+MOST_WORDS = 300_000
 #: Steps of the search (fillings built or tried) after best-fit gave the first solution; it stops before where the bound is met.
 MOST_NODES = 20_000
 #: Pieces of one length whose ranks a task counts together, on average.
@@ -47,70 +48,94 @@ _WORDWISE = {
 #: Printable characters below U+0180 that no normalisation changes, letters and numbers of them; other words take the tokenizer's whole way ("|" begins the names of special tokens).
 _LETTERS, _NUMBERS = r"a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f", r"0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 _ODD = re.compile(r"[^!-{}~\u00a1-\u00ac\u00ae-\u012f\u0131-\u017f]")
+#: ASCII marks that the split keeps together behind letters: all but the apostrophe, which may begin a part of its own, and "|".
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{}~"
 #: _SPLIT for these characters.
 _PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
 
 
-class Parts(dict):
-    """The ids of a part of a word that the split leaves, by the model."""
+class Kept(dict):
+    """What compute() gives, kept for about `most` keys at least: once there are so many, they become the older ones, and those asked for again are taken over."""
 
-    def __init__(self, model):
+    def __init__(self, most: int):
         super().__init__()
+        self.most, self.older = most, {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.compute(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
+class Parts(Kept):
+    """The ids of a lower-case part of a word that the split leaves, by the model."""
+
+    def __init__(self, model, most: int):
+        super().__init__(most)
         self.tokenize = model.tokenize
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in byte-level BPE
         others = [x for x in range(256) if x not in set(plain)]
         self.chars = {x: chr(x) for x in plain} | {x: chr(256 + i) for i, x in enumerate(others)}
 
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        mapped = part if part.isascii() else "".join(map(self.chars.__getitem__, part.encode()))
+    def compute(self, part: bytes) -> bytes:
+        mapped = part.decode() if part.isascii() else "".join(map(self.chars.__getitem__, part))
         ids = [t.id for t in self.tokenize(mapped)]
-        self[part] = out = struct.pack(f"<{len(ids)}I", *ids)
-        return out
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class Encoder(dict):
+class Encoder(Kept):
     """Ids of texts as little-endian unsigned 32-bit bytes, equal to the tokenizer's own.
 
     Where the tokenizer's file says that no token spans white space, words are encoded alone, part by part, and their ids are kept here;
     words of unusual characters take the tokenizer's whole way. With another file, whole texts do.
     """
 
-    def __init__(self, path: str):
-        super().__init__()
+    def __init__(self, path: str, most: int = MOST_WORDS):
+        super().__init__(most)
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         rules = json.loads(self.whole.to_str())
         self.wordwise = {k: rules.get(k) for k in _WORDWISE} == _WORDWISE and rules["model"]["type"] == "BPE"
-        self.parts = Parts(self.whole.model)
+        self.parts = Parts(self.whole.model, most)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MOST_WORDS:
-            self.clear()
+    def compute(self, word: bytes) -> bytes:
+        core = word.rstrip(_MARKS)
+        if core.isalpha():  # ASCII letters, perhaps with marks behind them: one part, or two
+            own = self.parts[core.lower()]
+            return own if len(core) == len(word) else own + self.parts[word[len(core) :]]
         text = word.decode("utf-8")
-        self[word] = ids = self._whole(text) if _ODD.search(text) else b"".join(map(self.parts.__getitem__, _PARTS.findall(text.lower())))
-        return ids
+        return self._whole(text) if _ODD.search(text) else b"".join([self.parts[p.encode()] for p in _PARTS.findall(text.lower())])
 
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.split())) if self.wordwise else self._whole(text.decode("utf-8"))
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """A worker's own, kept from task to task."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's ids with end_id behind them, cut only when longer than limit."""
     names = [x.split()[0] for x in PIECES.split(", ")]
     kinds = pa.schema(list(zip(names, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
         for part, texts in chunks(batches):
             rows: list[tuple] = []
             for doc, text in zip(part.column(0).to_pylist(), texts):
-                ids = encoder.encode(text) + end
+                ids = encode(text) + end
                 for i, at in enumerate(range(0, len(ids), 4 * limit)):
                     own = ids[at : at + 4 * limit]
                     rows.append((doc, i, at // 4, len(own) // 4, zlib.crc32(own)))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import chunks, shared_dir, stored, text_bytes
-from .packing import END_ID, Encoder
+from .packing import END_ID, encoder
 
 #: Ids of a shard, about: a task reads and writes one.
 SHARD_IDS = 16_000_000
@@ -90,9 +90,9 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     kinds = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_ids", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary())])
 
     def ids(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode_text, end = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
         for part, texts in chunks(batches):
-            found = [encoder.encode(t) + end for t in texts]
+            found = [encode_text(t) + end for t in texts]
             numbers = [np.frombuffer(x, "<u4") for x in found]
             narrow = [b"\2" + x.astype("<u2").tobytes() if x.max() < 1 << 16 else b"\4" + x.tobytes() for x in numbers]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(len, numbers), pa.int64()), pa.array(map(zlib.crc32, found), pa.int64()), pa.array(narrow, pa.binary())], schema=kinds)
