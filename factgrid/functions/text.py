@@ -133,3 +133,15 @@ def booklet_file(url: Column) -> Column:
     stem = F.regexp_replace(F.regexp_extract(F.coalesce(F.parse_url(url, F.lit("PATH")), F.lit("")), r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
     plain = F.regexp_replace(F.regexp_replace(F.url_decode(F.regexp_replace(stem, r"\+", "%2B")), "[^a-zA-Z0-9._-]+", "_"), r"^[._-]+|[._-]+$", "")
     return F.concat(F.coalesce(F.nullif(F.substring(plain, 1, 100), F.lit("")), F.lit("booklet")), F.lit("__"), F.sha2(url, 256), F.lit(".pdf"))
+
+
+def resolved(folder: Column, path: Column) -> Column:
+    """An absolute path, taken from the folder where it is relative: empty segments and "." go, ".." takes back the segment before, and none above the root.
+
+    The scheme and host of a URI stay before it. Null where path is, or where it is relative and folder is null.
+    """
+    root = r"^[A-Za-z][A-Za-z0-9+.-]+:(//[^/]*)?"
+    whole = F.when(path.rlike(root) | path.startswith("/"), path).otherwise(F.concat(folder, F.lit("/"), path))
+    step = lambda up, s: F.when(s.isin("", "."), up).when(s == "..", F.slice(up, 1, F.greatest(F.size(up) - 1, F.lit(0)))).otherwise(F.array_append(up, s))
+    kept = F.aggregate(F.split(F.regexp_replace(whole, root, ""), "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.regexp_extract(whole, root, 0), F.lit("/"), F.array_join(kept, "/"))

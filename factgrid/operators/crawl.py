@@ -14,6 +14,21 @@ def url_error(url: Column, truncated: Column | None = None) -> Column:
     return F.when(cut, "truncated").when(~F.coalesce(url.rlike(r"(?U)\S"), F.lit(False)), "missing").when(~strip(url).rlike(r"^(?i)https?://([^/?#@]*@)?[^/?#:@]+"), "not an http URL")
 
 
+def references(rows: DataFrame, url: str = "booklet_url", language: str = "reference_language") -> DataFrame:
+    """(reference, url, language, error) of a paged dataset's rows (sources.paged): reference is config, split and row_index; error says why a row holds no URL to fetch."""
+    v = rows.withColumn("_v", F.try_parse_json("row"))
+    text = lambda key: F.when(F.schema_of_variant(F.try_variant_get("_v", f"$.{key}", "variant")) == "STRING", F.try_variant_get("_v", f"$.{key}", "string"))
+    cut = F.coalesce(F.array_contains("truncated_cells", url), F.lit(False))
+    return v.select(F.struct("config", "split", F.col("row_idx").alias("row_index")).alias("reference"), text(url).alias("url"), F.nullif(text(language), F.lit("")).alias("language"), url_error(text(url), cut).alias("error"))
+
+
+def whole(found: DataFrame) -> DataFrame:
+    """references() without error; a job over it fails at a row that has one, since a scan that lacks rows isn't one."""
+    at = F.concat_ws("/", "reference.config", "reference.split", F.col("reference.row_index").cast("string"))
+    good = F.when(F.col("error").isNull(), True).otherwise(F.raise_error(F.concat(F.lit("row "), at, F.lit(": "), F.col("error"), F.lit(" URL"))).cast("boolean"))
+    return found.where(good).drop("error")
+
+
 def manifest(rows: DataFrame) -> DataFrame:
     """(url, path, languages, references) of rows(reference, url, language): a file for each URL, its languages in order, and all places that name it."""
     named = rows.where(url_error(F.col("url")).isNull()).withColumn("url", strip(F.col("url")))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import posixpath
+import re
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgrid.functions.text import EVIDENCE_CHARS
+from factgrid.functions.text import EVIDENCE_CHARS, vote_title
 from factgrid.operators import retrieval
-from factgrid.plans import predict
-from factgrid.sources import predictions, requests
+from factgrid.plans import predict, prompt
+from factgrid.sources import calls, predictions, requests
+from factgrid.storage import stored
 
 EVIDENCE = "array<struct<page:int,text:string>>"
 #: What a predictor returns for each request, by line_no; a row that is missing or has a null label is neutral.
@@ -53,6 +57,29 @@ class FromAnswers:
         return out.withColumnRenamed("request", "line_no").join(cost, "line_no", "left").select(*ANSWER)
 
 
+class FromModel:
+    """Predictions from a model's answers to prompts of the requests' chunks, each payload asked once and kept in the folder `log`.
+
+    connect makes a client in a task (calls.Client); vote titles come from requests.vote. A call that fails makes its requests neutral, without cost.
+    """
+
+    def __init__(self, pages: DataFrame, connect: Callable[[], calls.Client], model: str, log: str, vectors: DataFrame | None = None, claims: DataFrame | None = None, k: int = retrieval.TOP_K, in_flight: int = calls.IN_FLIGHT):
+        self.pages, self.connect, self.model, self.log, self.vectors, self.claims, self.k, self.in_flight = pages, connect, model, log, vectors, claims, k, in_flight
+
+    def asked(self, requests: DataFrame) -> DataFrame:
+        """A row per request that has chunks: request, key and the columns of calls.ANSWER."""
+        chunks, _ = retrieval.chunks(requests, self.pages, self.vectors, self.claims, self.k)
+        told = requests.select(F.col("line_no").alias("request"), "claim", vote_title(F.col("vote")).alias("vote"))
+        return calls.called(predict.prompts(told, chunks), self.log, self.connect, self.model, prompt.SYSTEM, in_flight=self.in_flight)
+
+    def predict(self, requests: DataFrame) -> DataFrame:
+        got = stored(self.asked(requests), "asked").withColumnRenamed("request", "line_no")
+        good = got.where("error is null").select("line_no", "answer", "input_tokens", "output_tokens", "api_time_ms")
+        out = FromAnswers(good, self.pages, self.vectors, self.claims, self.k).predict(requests)
+        failed = got.where("error is not null").select("line_no", F.col("error").alias("failure"))
+        return out.join(failed, "line_no", "left").withColumn("error", F.coalesce("failure", "error")).select(*ANSWER)
+
+
 def judged(asked: DataFrame, answered: DataFrame) -> DataFrame:
     """(line_no, id, id_kind, task, raw, note): each request's prediction as JSON; failed cases are neutral and cost nothing."""
     failed = F.col("label").isNull()
@@ -65,20 +92,23 @@ def judged(asked: DataFrame, answered: DataFrame) -> DataFrame:
     return both.select("line_no", "id", "id_kind", "task", F.to_json(body, {"ignoreNullFields": "false"}).alias("raw"), note.alias("note"))
 
 
-def run(spark: SparkSession, source: str, target: str, predictor: Predictor) -> int:
-    """Reads requests from `source`, writes a line for each to the folder `target` in their order; returns how many.
+def place(path: str) -> str:
+    """A path or URI with its links, dots and relative beginning resolved."""
+    local = re.sub("^file:/+", "/", path)
+    return posixpath.normpath(path) if re.match("[A-Za-z][A-Za-z0-9+.-]+:", local) else os.path.realpath(local)
+
+
+def run(spark: SparkSession, source: str | list[str], target: str, predictor: Predictor, resolve: bool = False) -> int:
+    """Reads requests from one or more files, writes a line for each to the folder `target` in their order; returns how many.
 
     All requests are checked before any is predicted and all predictions before any is written, so a fault leaves no output.
     """
-    if posixpath.normpath(source) == posixpath.normpath(target):
+    if place(target) in map(place, [source] if isinstance(source, str) else source):
         raise ValueError("the output must not be the input")
-    asked = requests.read_requests(spark, source)
-    out = predictions.checked(judged(asked, predictor.predict(asked))).persist()
-    try:
-        bad = out.where("error is not null").orderBy("line_no").select("line_no", "error").first()
-        if bad:
-            raise ValueError(f"prediction of line {bad['line_no']}: {bad['error']}")
-        predictions.write_raw(out, target)
-        return out.count()
-    finally:
-        out.unpersist()
+    asked = requests.read_requests(spark, source, resolve)
+    out = stored(predictions.checked(judged(asked, predictor.predict(asked))), "predictions")
+    bad, n = out.agg(F.min(F.when(F.col("error").isNotNull(), F.struct("line_no", "error"))), F.count("*")).first()
+    if bad:
+        raise ValueError(f"prediction of line {bad['line_no']}: {bad['error']}")
+    predictions.write_raw(out, target)
+    return n

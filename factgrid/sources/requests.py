@@ -6,21 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factgrid.functions.text import LANGUAGES
+from factgrid.functions.text import LANGUAGES, resolved
+from factgrid.operators import segmented
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, raw, utf8) of the non-blank lines; blank ones count in line_no, which begins anew in each file.
+def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, file_line, line_no, raw, utf8) of the non-blank lines of one or more files.
 
-    Files are read in splits, however large. A line's number is its place in the split behind the lines of the file's splits before.
+    file_line counts a file's lines, blank ones too; line_no goes on from file to file, in the order of their paths, so it tells all lines apart.
+    Files are read in splits, however large. A line's number is its place in the split behind the lines of the splits before.
     """
     read = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
-    sizes = read.groupBy("path", "block").agg(F.count("*").alias("n"))
-    before = sizes.select("path", "block", (F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")).alias("before"))
+    order = [F.col("path"), F.col("block")]
+    sizes = segmented.dealt(read.groupBy("path", "block").agg(F.count("*").alias("n")), order)
+    sizes = segmented.scanned(sizes, order, {"before": segmented.running_sum(F.col("n"))})
+    sizes = sizes.select("path", "block", "before", (F.col("before") - F.min("before").over(Window.partitionBy("path"))).alias("in_file"))
     own = F.row_number().over(Window.partitionBy("path", "block").orderBy("at"))
-    each = read.withColumn("own", own).join(before, ["path", "block"])
+    each = read.withColumn("own", own).join(sizes, ["path", "block"])
     utf8 = F.is_valid_utf8("raw")
-    return each.where(F.col("raw").rlike(r"(?U)\S") | ~utf8).select("path", (F.col("before") + F.col("own")).alias("line_no"), "raw", utf8.alias("utf8"))
+    return each.where(F.col("raw").rlike(r"(?U)\S") | ~utf8).select("path", (F.col("in_file") + F.col("own")).alias("file_line"), (F.col("before") + F.col("own")).alias("line_no"), "raw", utf8.alias("utf8"))
 
 
 def ruled(rows: DataFrame) -> DataFrame:
@@ -44,7 +48,7 @@ def ruled(rows: DataFrame) -> DataFrame:
         F.when(has("reference"), F.when(~filled("$.reference.text"), "reference.text").when(~spoken("$.reference.language"), "reference.language")),
     )
     return v.select(
-        "line_no", F.try_variant_get("v", "$.id", "variant").alias("id_value"), kind("$.id").alias("id_kind"), text("$.id").alias("id"), F.try_variant_get("v", "$.vote", "variant").alias("vote"), text("$.claim.text").alias("claim"), text("$.claim.language").alias("claim_lang"),
+        "line_no", *[c for c in ("path", "file_line") if c in rows.columns], F.try_variant_get("v", "$.id", "variant").alias("id_value"), kind("$.id").alias("id_kind"), text("$.id").alias("id"), F.try_variant_get("v", "$.vote", "variant").alias("vote"), text("$.claim.text").alias("claim"), text("$.claim.language").alias("claim_lang"),
         F.when(has("booklet"), "A").otherwise("B").alias("task"), F.coalesce(text("$.booklet.language"), text("$.reference.language")).alias("source_lang"),
         text("$.booklet.path").alias("booklet_path"), text("$.reference.text").alias("reference_text"), bad.alias("error"),
     )
@@ -56,16 +60,21 @@ def checked(rows: DataFrame) -> DataFrame:
     return ruled(rows).withColumn("error", F.coalesce("error", F.when(F.row_number().over(ids) > 1, "duplicate id")))
 
 
-def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """The requests of a file; fails with the earliest line's error, and on an empty file."""
+def read_requests(spark: SparkSession, path: str | list[str], resolve: bool = False) -> DataFrame:
+    """The requests of one or more files; fails with the earliest line's error, and on empty files.
+
+    resolve: booklet_path becomes absolute, relative ones being in the folder of their own file.
+    """
     read = lines(spark, path)
-    broken = read.where("not utf8").orderBy("path", "line_no").select("path", "line_no").first()
-    if broken:
-        raise ValueError(f"{broken['path']}, line {broken['line_no']}: not UTF-8")
     rows = checked(read)
-    first = rows.where("error is not null").orderBy("line_no").select("line_no", "error").first()
-    if first:
-        raise ValueError(f"{path}, line {first['line_no']}: {first['error']}")
-    if rows.isEmpty():
+    at = lambda c, *more: F.min(F.when(c, F.struct("line_no", "path", "file_line", *more)))
+    broken, first, n = read.agg(at(~F.col("utf8"))).crossJoin(rows.agg(at(F.col("error").isNotNull(), "error"), F.count("*"))).first()  # a row each
+    if broken or first:
+        line = broken or first
+        raise ValueError(f"{line['path']}, line {line['file_line']}: {'not UTF-8' if broken else line['error']}")
+    if not n:
         raise ValueError(f"{path}: no requests")
-    return rows.drop("error")
+    if resolve:
+        folder = F.regexp_replace(F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^file:/+", "/"), "/[^/]*$", "")
+        rows = rows.withColumn("booklet_path", resolved(folder, F.col("booklet_path")))
+    return rows.drop("error", "path", "file_line")
