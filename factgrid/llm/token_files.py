@@ -105,16 +105,28 @@ def _numbers(ids: bytes) -> np.ndarray:
     return np.frombuffer(ids, f"<u{ids[0]}", offset=1)
 
 
+def _together(arrays: Iterable[np.ndarray], size: int) -> Iterator[np.ndarray]:
+    """The arrays in their order, joined to about `size` numbers."""
+    held, n = [], 0
+    for x in arrays:
+        held.append(x)
+        n += len(x)
+        if n >= size:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
 def ranked(ids: DataFrame) -> DataFrame:
     """(id, n) of every id that occurs: at most one row for each id of the vocabulary. Tasks add up first."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for batch in batches:
-            for x in batch.column(0):
-                own = np.bincount(_numbers(x.as_py()), minlength=len(total))
-                own[: len(total)] += total
-                total = own
+        for numbers in _together((_numbers(x.as_py()) for batch in batches for x in batch.column(0)), BLOCK_IDS):
+            own = np.bincount(numbers, minlength=len(total))
+            own[: len(total)] += total
+            total = own
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
@@ -135,32 +147,32 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     shared = spark.sparkContext.broadcast(rank)  # by id: as long as the vocabulary
     shards = max(1, -(-sum(n for n, _ in counts) // shard_ids))
 
-    def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = [encode(shared.value[_numbers(x.as_py())]) for x in batch.column(4)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array([b[k] for b in both], pa.binary()) for k in (0, 1))], names=["doc_id", "row", "n_ids", "crc", "control", "data"])
-
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, number = TaskContext.get().partitionId(), 0
-        rows: list[tuple] = []
+        rows: list[tuple[int | None, np.ndarray]] = []
         held = 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if rows and held + row[1] > block_ids:
+            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = _numbers(raw.as_py())
+                if rows and held + len(own) > block_ids:
                     yield framed(shard, number, rows)
                     rows, number, held = [], number + 1, 0
-                rows.append(row)
-                held += row[1]
+                rows.append((doc, own))
+                held += len(own)
         if rows:
             yield framed(shard, number, rows)
 
-    def framed(shard: int, number: int, rows: list[tuple]) -> pa.RecordBatch:
-        docs, sizes, controls, data = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array([block(shard, number, docs, sizes, b"".join(controls), b"".join(data))], pa.binary())], names=["block"])
+    def framed(shard: int, number: int, rows: list[tuple[int | None, np.ndarray]]) -> pa.RecordBatch:
+        """A block; all its documents are encoded at once, each padded to whole control bytes."""
+        sizes = [len(own) for _, own in rows]
+        ranks, at = np.zeros(sum(-(-n // 4) * 4 for n in sizes), np.uint32), 0
+        for n, (_, own) in zip(sizes, rows):
+            ranks[at : at + n] = shared.value[own]
+            at += -(-n // 4) * 4
+        return pa.RecordBatch.from_arrays([pa.array([block(shard, number, [doc for doc, _ in rows], sizes, *encode(ranks))], pa.binary())], names=["block"])
 
     order = [F.col("doc_id").asc_nulls_first(), "crc", "n_ids", "row"]
-    coded = ids.mapInArrow(code, "doc_id long, row long, n_ids long, crc long, control binary, data binary")
-    dealt = coded.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "n_ids", "control", "data")
+    dealt = ids.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "ids")
     dealt.mapInArrow(write, "block binary").select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/shards")
 
 
