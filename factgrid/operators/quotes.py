@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factgrid.functions import text
-from factgrid.functions.fuzzy import alignment
+from factgrid.functions.fuzzy import alignment, alignment_from
 
 MIN_SCORE = 90.0
 _WORD = r"[\p{L}\p{N}]"
@@ -31,11 +31,11 @@ def first_hits(citations: DataFrame, chunks: DataFrame) -> DataFrame:
     asked = citations.select("request", "place", F.col("chunk").alias("cited"), F.col("quote").alias("wanted")).where(F.length(text.strip(F.col("wanted"))) >= text.MIN_QUOTE_CHARS)
     held = chunks.select("request", "chunk", "page", "text")
     cited = asked.join(held.withColumnRenamed("request", "_of"), (F.col("request") == F.col("_of")) & (F.col("cited") == F.col("chunk"))).drop("_of")
-    probed = cited.withColumn("hit", alignment("wanted", "text")).where(F.col("hit.score") >= MIN_SCORE)
+    probed = cited.withColumn("hit", alignment_from(MIN_SCORE)("wanted", "text")).where(F.col("hit.score") >= MIN_SCORE)
     both = asked.join(probed.select("request", "place"), ["request", "place"], "left_anti").join(held, "request").where(~F.col("chunk").eqNullSafe(F.col("cited")))
     each = Window.partitionBy("request", "place")
     exact = F.min(F.when(F.contains("text", "wanted"), F.col("chunk"))).over(each)
-    near = both.withColumn("exact", exact).where("exact is null or chunk <= exact").drop("exact").withColumn("hit", alignment("wanted", "text")).where(F.col("hit.score") >= MIN_SCORE)
+    near = both.withColumn("exact", exact).where("exact is null or chunk <= exact").drop("exact").withColumn("hit", alignment_from(MIN_SCORE)("wanted", "text")).where(F.col("hit.score") >= MIN_SCORE)
     first = probed.unionByName(near).withColumn("n", F.row_number().over(each.orderBy("chunk"))).where("n = 1")
     return first.select("request", "place", "chunk", "page", widened(F.col("text"), F.col("hit.start"), F.col("hit.end")).alias("quote"))
 
@@ -51,5 +51,5 @@ def best_chunks(texts: DataFrame, chunks: DataFrame) -> DataFrame:
 def evidence_hits(gold: DataFrame, quotes: DataFrame) -> DataFrame:
     """(id, hit): whether one of a case's quotes, too long ones aside, is at least MIN_SCORE like its gold passage, gold(id, passage), quotes(id, quote)."""
     asked = gold.select("id", text.normalized(F.col("passage")).alias("p")).join(quotes.select("id", text.normalized(F.col("quote")).alias("q")), "id", "left")
-    good = (F.length("q") > 0) & (F.length("q") <= text.EVIDENCE_CHARS) & (F.length("p") > 0) & (alignment("q", "p")["score"] >= MIN_SCORE)
+    good = (F.length("q") > 0) & (F.length("q") <= text.EVIDENCE_CHARS) & (F.length("p") > 0) & (alignment_from(MIN_SCORE)("q", "p")["score"] >= MIN_SCORE)
     return asked.withColumn("good", good).groupBy("id").agg(F.coalesce(F.bool_or("good"), F.lit(False)).alias("hit"))

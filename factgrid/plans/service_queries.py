@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factgrid.functions import text
-from factgrid.operators import crawl, segmented
+from factgrid.operators import crawl, retrieval, segmented
 from factgrid.plans import prompt, stand_in
 from factgrid.sources import calls, downloads, paged
 from factgrid.storage import shared_dir, stored
@@ -72,6 +72,18 @@ def model_calls(spark: SparkSession, d: str) -> DataFrame:
     return both.select("request", F.get_json_object("answer", "$.label").alias("label"), "input_tokens", "output_tokens", F.col("error").isNotNull().alias("failed"), "again", "answers", "failures")
 
 
+def page_index(spark: SparkSession, d: str) -> DataFrame:
+    """Hosts as booklets of the pages that they have, indexed, then once more after the pages of some hosts have changed: which build each booklet's vectors are of."""
+    p = table(spark, d, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("path"), F.col("page_id").cast("int").alias("page"), F.coalesce("html", F.lit("")).alias("text"))
+    p = stored(p.where("path <> ''"), "booklets")
+    changed = p.withColumn("text", F.when(F.length("path") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    folder, load = f"{shared_dir(spark)}/index", retrieval.hashed_ngrams
+    retrieval.stored_index(p, folder, load, "hashed", built=1)
+    again = retrieval.stored_index(changed, folder, load, "hashed", built=2)
+    norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return again.groupBy("path").agg(F.count("*").alias("pages"), F.min("built").alias("oldest"), F.max("built").alias("newest"), F.count_if(F.abs(norm - 1) < 1e-5).alias("of_length_1"))
+
+
 def resolved_paths(spark: SparkSession, d: str) -> DataFrame:
     """Booklets' paths beside their requests, some absolute, some with a way up and down."""
     k = F.col("page_id").cast("string")
@@ -80,7 +92,7 @@ def resolved_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (paged_scan, booklet_downloads, model_calls, resolved_paths)}
+    return {f.__name__: f for f in (paged_scan, booklet_downloads, model_calls, page_index, resolved_paths)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -94,5 +106,7 @@ SELECT page_id, CASE WHEN bad THEN 'error' ELSE 'downloaded' END AS status, CASE
 SELECT request, CASE WHEN n % 7 <> 0 THEN ['ENTAILMENT', 'NEUTRAL', 'CONTRADICTION'][CAST(n % 3 AS INTEGER) + 1] END AS label, CASE WHEN n % 7 = 0 THEN 0 ELSE n END AS input_tokens,
   CASE WHEN n % 7 = 0 THEN 0 ELSE length(['ENTAILMENT', 'NEUTRAL', 'CONTRADICTION'][CAST(n % 3 AS INTEGER) + 1]) END AS output_tokens, n % 7 = 0 AS failed, n % 7 <> 0 AS again,
   CASE WHEN n % 7 = 0 THEN 0 ELSE 1 END::BIGINT AS answers, CASE WHEN n % 7 = 0 THEN 2 ELSE 0 END::BIGINT AS failures FROM t""",
+        "page_index": """WITH p AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS path FROM pages)
+SELECT path, count(*) AS pages, CASE WHEN length(path) % 3 = 0 THEN 2 ELSE 1 END AS oldest, CASE WHEN length(path) % 3 = 0 THEN 2 ELSE 1 END AS newest, count(*) AS of_length_1 FROM p WHERE path <> '' GROUP BY path""",
         "resolved_paths": """SELECT page_id, CASE page_id % 3 WHEN 0 THEN '/pdf/' || page_id || '/b.pdf' WHEN 1 THEN '/up/' || page_id ELSE '/data/in/' || page_id || '/b.pdf' END AS path FROM pages""",
     }

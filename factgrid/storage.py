@@ -61,7 +61,7 @@ class Folder:
                 self.fs.delete_file(part)
             raise
 
-    def names(self, below: str = "") -> list[str]:
-        """The files directly in a folder, sorted."""
+    def names(self, below: str = "", any_kind: bool = False) -> list[str]:
+        """The files directly in a folder, sorted; with any_kind its folders too."""
         found = self.fs.get_file_info(arrow_fs.FileSelector(self._at(below), allow_not_found=True))
-        return sorted(posixpath.join(below, f.base_name) for f in found if f.type == arrow_fs.FileType.File)
+        return sorted(posixpath.join(below, f.base_name) for f in found if any_kind or f.type == arrow_fs.FileType.File)
