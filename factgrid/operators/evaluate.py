@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factgrid.functions.text import LABELS
+from factgrid.functions import jsonl
+from factgrid.functions.text import EVIDENCE_CHARS, LABELS
 from factgrid.operators import quotes, scoring
 
 # fixed values: the tasks' pass marks, how many items of evidence count, what a response reports of its cost
@@ -33,7 +34,7 @@ def responses(predictions: DataFrame) -> DataFrame:
     label is -1 where problem says why it doesn't count. Of the evidence the first five places are looked at, then those without a text are
     left out. A metric that isn't a number of at least 0 is null.
     """
-    v = predictions.withColumn("_v", F.try_parse_json("raw"))
+    v = jsonl.parsed(predictions).withColumnRenamed("v", "_v")
     label = F.try_variant_get("_v", "$.label", "int")
     valid = (_kind(F.try_variant_get("_v", "$.label", "variant")) == "BIGINT") & F.coalesce(label.between(0, 2), F.lit(False))
     named = F.try_variant_get("_v", "$.label_name", "string").eqNullSafe(F.element_at(F.array(*map(F.lit, LABELS)), F.when(valid, label + 1).otherwise(1)))
@@ -70,21 +71,21 @@ def paired(expected: DataFrame, predictions: DataFrame, cases: DataFrame | None
     )
 
 
-def evidence(rows: DataFrame) -> DataFrame:
-    """(task, evidence_cases, found, evidence_score): task A's cases that aren't neutral whose quotes meet the gold passage; no score if any passage is missing."""
+def evidence(rows: DataFrame, min_score: float = quotes.MIN_SCORE, max_chars: int = EVIDENCE_CHARS) -> DataFrame:
+    """(task, evidence_cases, found, without_passage, evidence_score): task A's cases that aren't neutral whose quotes meet the gold passage; no score if any passage is missing."""
     own = rows.where((F.col("task") == "A") & (F.col("label") != 1))
-    hits = quotes.evidence_hits(own.select("id", F.col("reference").alias("passage")), own.select("id", F.explode("quotes").alias("quote")))
-    by = own.join(hits, "id").groupBy("task").agg(F.count("*").alias("evidence_cases"), F.count_if("hit").alias("found"), F.count_if(F.col("reference").isNull()).alias("missing"))
-    return by.select("task", "evidence_cases", "found", F.when(F.col("missing") == 0, F.col("found") / F.col("evidence_cases")).alias("evidence_score"))
+    hits = quotes.evidence_hits(own.select("id", F.col("reference").alias("passage")), own.select("id", F.explode("quotes").alias("quote")), min_score, max_chars)
+    by = own.join(hits, "id").groupBy("task").agg(F.count("*").alias("evidence_cases"), F.count_if("hit").alias("found"), F.count_if(F.col("reference").isNull()).alias("without_passage"))
+    return by.withColumn("evidence_score", F.when(F.col("without_passage") == 0, F.col("found") / F.col("evidence_cases")))
 
 
-def tasks(rows: DataFrame) -> DataFrame:
-    """(task, cases, macro_f1, accuracy, threshold, passes, evidence_cases, found, evidence_score); tasks without a pass mark have null for both."""
+def tasks(rows: DataFrame, min_score: float = quotes.MIN_SCORE, max_chars: int = EVIDENCE_CHARS) -> DataFrame:
+    """(task, cases, macro_f1, accuracy, threshold, passes) and the columns of evidence(); tasks without a pass mark have null for both."""
     f1 = scoring.macro_f1(scoring.class_scores(rows, "task"), "task").select("task", "macro_f1")
     counted = rows.groupBy("task").agg(F.count("*").alias("cases"), F.avg((F.col("label") == F.col("pred")).cast("int")).alias("accuracy"))
     mark = reduce(lambda c, t: c.when(F.col("task") == t, THRESHOLDS[t]), THRESHOLDS, F.when(F.lit(False), 0.0))
     out = counted.join(f1, "task").withColumn("threshold", mark).withColumn("passes", F.col("macro_f1") >= F.col("threshold"))
-    return out.join(evidence(rows), "task", "left")
+    return out.join(evidence(rows, min_score, max_chars), "task", "left")
 
 
 def pairs(rows: DataFrame) -> DataFrame:
@@ -113,12 +114,3 @@ def confusion(rows: DataFrame, by: str) -> DataFrame:
     grid = rows.select(by).distinct().select(by, F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("label")).select(by, "label", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("pred"))
     n = rows.groupBy(by, "label", "pred").agg(F.count("*").alias("n"))
     return grid.join(n, [by, "label", "pred"], "left").select(by, "label", "pred", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-
-
-def report(rows: DataFrame, predictions: DataFrame) -> DataFrame:
-    """One row with everything, for a JSON report: cases, tasks, languages, usage and issues."""
-    listed = lambda df, key, name: df.agg(F.sort_array(F.collect_list(F.struct(key, *[c for c in df.columns if c != key]))).alias(name))
-    out = rows.agg(F.count("*").alias("cases"))
-    for df, key, name in ((tasks(rows), "task", "tasks"), (pairs(rows), "pair", "languages"), (usage(rows), "metric", "usage_mean_per_case"), (issues(rows, predictions), "issue", "issues")):
-        out = out.join(listed(df, key, name))  # single rows
-    return out

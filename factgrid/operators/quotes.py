@@ -48,8 +48,8 @@ def best_chunks(texts: DataFrame, chunks: DataFrame) -> DataFrame:
     return both.withColumn("n", F.row_number().over(each)).where("n = 1").select("request", "chunk", "page", "text")
 
 
-def evidence_hits(gold: DataFrame, quotes: DataFrame) -> DataFrame:
-    """(id, hit): whether one of a case's quotes, too long ones aside, is at least MIN_SCORE like its gold passage, gold(id, passage), quotes(id, quote)."""
+def evidence_hits(gold: DataFrame, quotes: DataFrame, min_score: float = MIN_SCORE, max_chars: int = text.EVIDENCE_CHARS) -> DataFrame:
+    """(id, hit): whether one of a case's quotes, those longer than max_chars aside, is at least min_score like its gold passage, gold(id, passage), quotes(id, quote)."""
     asked = gold.select("id", text.normalized(F.col("passage")).alias("p")).join(quotes.select("id", text.normalized(F.col("quote")).alias("q")), "id", "left")
-    good = (F.length("q") > 0) & (F.length("q") <= text.EVIDENCE_CHARS) & (F.length("p") > 0) & (alignment_from(MIN_SCORE)("q", "p")["score"] >= MIN_SCORE)
+    good = (F.length("q") > 0) & (F.length("q") <= max_chars) & (F.length("p") > 0) & (alignment_from(min_score)("q", "p")["score"] >= min_score)
     return asked.withColumn("good", good).groupBy("id").agg(F.coalesce(F.bool_or("good"), F.lit(False)).alias("hit"))

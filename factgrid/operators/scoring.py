@@ -29,6 +29,13 @@ def macro_f1(scores: DataFrame, by: str) -> DataFrame:
     return scores.groupBy(by).agg(F.avg(F.when(F.col("support") + F.col("predicted") > 0, F.col("f1"))).alias("macro_f1"), F.sum("support").alias("cases"))
 
 
+def mean_f1(scores: DataFrame, by: str) -> DataFrame:
+    """(by, mean_f1, accuracy, cases) over all three classes, also those that neither gold nor predictions hold; without cases 0."""
+    tp = F.sum(F.col("recall") * F.col("support"))
+    n = F.sum("support")
+    return scores.groupBy(by).agg(F.avg("f1").alias("mean_f1"), F.when(n > 0, F.round(tp) / n).otherwise(0.0).alias("accuracy"), n.alias("cases"))
+
+
 def issues(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     """(issue, n): unknown and duplicate ids, missing responses, invalid labels."""
     by = predictions.groupBy("id").agg(F.count("*").alias("n"), F.first("label").alias("p"))

@@ -11,7 +11,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgrid.functions.text import EVIDENCE_CHARS, vote_title
+from factgrid.functions.text import EVIDENCE_CHARS
 from factgrid.operators import retrieval
 from factgrid.plans import predict, prompt
 from factgrid.sources import calls, predictions, requests
@@ -60,7 +60,7 @@ class FromAnswers:
 class FromModel:
     """Predictions from a model's answers to prompts of the requests' chunks, each payload asked once and kept in the folder `log`.
 
-    connect makes a client in a task (calls.Client); vote titles come from requests.vote. A call that fails makes its requests neutral, without cost.
+    connect makes a client in a task (calls.Client). A call that fails makes its requests neutral, without cost.
     """
 
     def __init__(self, pages: DataFrame, connect: Callable[[], calls.Client], model: str, log: str, vectors: DataFrame | None = None, claims: DataFrame | None = None, k: int = retrieval.TOP_K, in_flight: int = calls.IN_FLIGHT):
@@ -69,7 +69,7 @@ class FromModel:
     def asked(self, requests: DataFrame) -> DataFrame:
         """A row per request that has chunks: request, key and the columns of calls.ANSWER."""
         chunks, _ = retrieval.chunks(requests, self.pages, self.vectors, self.claims, self.k)
-        told = requests.select(F.col("line_no").alias("request"), "claim", vote_title(F.col("vote")).alias("vote"))
+        told = requests.select(F.col("line_no").alias("request"), "claim", F.col("vote_title").alias("vote"))
         return calls.called(predict.prompts(told, chunks), self.log, self.connect, self.model, prompt.SYSTEM, in_flight=self.in_flight)
 
     def predict(self, requests: DataFrame) -> DataFrame:
@@ -87,9 +87,10 @@ def judged(asked: DataFrame, answered: DataFrame) -> DataFrame:
     evidence = F.transform(F.coalesce(F.when(~failed, F.col("evidence")), F.array().cast(EVIDENCE)), lambda e: F.struct(e["page"].alias("page"), F.substring(e["text"], 1, EVIDENCE_CHARS).alias("text")))
     metrics = F.struct(whole("input_tokens"), whole("output_tokens"), F.bround(F.coalesce(F.when(~failed, F.col("inference_time_ms")), F.lit(0))).cast("long").alias("inference_time_ms"))
     both = asked.join(answered, "line_no", "left")
-    body = F.struct(F.col("id_value").alias("id"), F.coalesce("label", F.lit(1)).alias("label"), F.coalesce("label_name", F.lit("neutral")).alias("label_name"), evidence.alias("evidence"), metrics.alias("metrics"))
+    body = F.struct(F.coalesce("label", F.lit(1)).alias("label"), F.coalesce("label_name", F.lit("neutral")).alias("label_name"), evidence.alias("evidence"), metrics.alias("metrics"))
     note = F.coalesce("error", F.when(failed, "no prediction"))
-    return both.select("line_no", "id", "id_kind", "task", F.to_json(body, {"ignoreNullFields": "false"}).alias("raw"), note.alias("note"))
+    raw = F.concat(F.lit('{"id":'), "id_json", F.lit(","), F.substring(F.to_json(body, {"ignoreNullFields": "false"}), 2, 2**31 - 1))  # an id of any length stays as it is
+    return both.select("line_no", "id", "id_kind", "task", raw.alias("raw"), note.alias("note"))
 
 
 def place(path: str) -> str:

@@ -7,10 +7,18 @@ from dataclasses import dataclass
 
 from factgrid.operators.retrieval import TOP_K
 
-# fixed values: the names that settings go by, the first that is set counts, even if it is blank
-KEYS = ("API_KEY", "LLM_API_KEY", "CSCS_INFERENCE_API_KEY")
-MODELS = ("LLM_NAME", "APERTUS_MODEL")
-FAMILY, MODEL = "swiss-ai/Apertus-v1.5-", "swiss-ai/Apertus-v1.5-70B"
+
+@dataclass(frozen=True)
+class Names:
+    """What settings go by. Of several names the first that is set counts, even if it is blank. A model's name has to begin with model_family and go on."""
+
+    key: tuple[str, ...] = ("API_KEY",)
+    model: tuple[str, ...] = ("MODEL",)
+    model_family: str = ""
+    model_default: str = ""
+    top_k: str = "TOP_K"
+    full_document: str = "FULL_DOCUMENT"
+    batch_size: str = "EMBEDDING_BATCH_SIZE"
 
 
 @dataclass(frozen=True)
@@ -33,16 +41,16 @@ def positive(env: Mapping[str, str], name: str, default: int) -> int:
     return value
 
 
-def model_of(env: Mapping[str, str]) -> str:
-    model = first_set(env, MODELS, MODEL)
-    if not model.startswith(FAMILY) or not model.removeprefix(FAMILY).strip():
-        raise ValueError(f"{' or '.join(MODELS)} must name a model of {FAMILY}..")
+def model_of(env: Mapping[str, str], names: Names = Names()) -> str:
+    model = first_set(env, names.model, names.model_default)
+    if not model.startswith(names.model_family) or not model.removeprefix(names.model_family).strip():
+        raise ValueError(f"{' or '.join(names.model)} must name a model" + (f" of {names.model_family}.." if names.model_family else ""))
     return model
 
 
-def settings(env: Mapping[str, str]) -> Settings:
+def settings(env: Mapping[str, str], names: Names = Names()) -> Settings:
     """The settings, or the first error: a blank key, a model of another family, a number that isn't positive."""
-    key = first_set(env, KEYS).strip()
+    key = first_set(env, names.key).strip()
     if not key:
-        raise ValueError(f"set {KEYS[0]}")
-    return Settings(key, model_of(env), positive(env, "CLAIMCHECK_TOP_K", TOP_K), env.get("CLAIMCHECK_FULL_DOCUMENT") == "1", positive(env, "CLAIMCHECK_EMBEDDING_BATCH_SIZE", 4))
+        raise ValueError(f"set {names.key[0]}")
+    return Settings(key, model_of(env, names), positive(env, names.top_k, TOP_K), env.get(names.full_document) == "1", positive(env, names.batch_size, 4))

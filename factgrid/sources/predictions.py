@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factgrid.functions import jsonl
 from factgrid.functions.text import EVIDENCE_CHARS, LABELS
 
 # fixed value: the most items of evidence
@@ -16,7 +17,9 @@ def checked(rows: DataFrame) -> DataFrame:
 
     Kinds count: 7 isn't "7", true isn't a number, a page key may be null but not missing.
     """
-    v = rows.withColumn("_v", F.try_parse_json("raw"))
+    v = jsonl.parsed(rows).withColumnRenamed("v", "_v")
+    id_kind, ident = jsonl.ident(F.col("line"), F.col("_v"))
+    v = v.withColumns({"_kind": id_kind, "_id": ident})
     kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get("_v", path, "variant")), F.lit("VOID"))
     get = lambda path, of: F.try_variant_get("_v", path, of)
     label = get("$.label", "int")
@@ -27,7 +30,7 @@ def checked(rows: DataFrame) -> DataFrame:
     time = kind("$.metrics.inference_time_ms")
     bad = F.coalesce(
         F.when(F.col("_v").isNull() | ~F.schema_of_variant("_v").startswith("OBJECT"), "not an object"),
-        F.when((kind("$.id") != F.col("id_kind")) | ~get("$.id", "string").eqNullSafe(F.col("id")), "id"),
+        F.when((F.col("_kind") != F.col("id_kind")) | ~F.col("_id").eqNullSafe(F.col("id")), "id"),
         F.when((kind("$.label") != "BIGINT") | ~F.coalesce(label.between(0, 2), F.lit(False)), "label"),
         F.when(~get("$.label_name", "string").eqNullSafe(name), "label_name"),
         F.when(~kind("$.evidence").startswith("ARRAY") | (F.size(items) > MOST_EVIDENCE), "evidence"),
@@ -36,7 +39,7 @@ def checked(rows: DataFrame) -> DataFrame:
         *[F.when(~tokens(k), f"metrics.{k}") for k in ("input_tokens", "output_tokens")],
         F.when(~(time.isin("BIGINT", "DOUBLE", "FLOAT") | time.startswith("DECIMAL")) | ~F.coalesce(get("$.metrics.inference_time_ms", "double") >= 0, F.lit(False)), "metrics.inference_time_ms"),
     )
-    return v.withColumn("error", bad).drop("_v")
+    return v.withColumn("error", bad).drop("_v", "line", "_kind", "_id")
 
 
 def _page_good(item: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factgrid.functions.text import LANGUAGES, resolved
+from factgrid.functions import jsonl
+from factgrid.functions.text import LANGUAGES, resolved, vote_title
 from factgrid.operators import segmented
 
 
@@ -30,9 +31,12 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def ruled(rows: DataFrame) -> DataFrame:
     """(line_no, raw) -> the request's columns and `error`, the first rule that the line breaks by itself, or null.
 
-    Numbers and strings stay distinct: 7 and "7" are different ids. A key may be present and null. Extra keys are ignored.
+    Numbers and strings stay distinct: 7 and "7" are different ids. A key may be present and null, and of a repeated key the last one counts. Extra keys are
+    ignored. id_json is the id as it is written in JSON, vote_title the vote's name for a model.
     """
-    v = rows.withColumn("v", F.try_parse_json("raw")).withColumn("keys", F.json_object_keys("raw"))
+    v = jsonl.parsed(rows).withColumn("keys", F.json_object_keys("line"))
+    id_kind, ident = jsonl.ident(F.col("line"), F.col("v"))
+    v = v.withColumns({"id_kind": id_kind, "id": ident})
     kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get("v", path, "variant")), F.lit("VOID"))
     text = lambda path: F.try_variant_get("v", path, "string")
     has = lambda key: F.coalesce(F.array_contains("keys", key), F.lit(False))
@@ -41,14 +45,18 @@ def ruled(rows: DataFrame) -> DataFrame:
     bad = F.coalesce(
         F.when(F.col("v").isNull(), "not JSON"), F.when(~F.schema_of_variant("v").startswith("OBJECT"), "not an object"),
         *[F.when(~has(k), f"{k} is missing") for k in ("id", "vote", "claim")],
-        F.when(~(filled("$.id") | (kind("$.id") == "BIGINT")), "id must be a non-empty string or an integer"),
+        F.when(~(filled("$.id") | (F.col("id_kind") == "BIGINT")), "id must be a non-empty string or an integer"),
         F.when(has("booklet") == has("reference"), "exactly one of booklet and reference"),
         F.when(~kind("$.claim").startswith("OBJECT") | ~filled("$.claim.text"), "claim.text"), F.when(~spoken("$.claim.language"), "claim.language"),
         F.when(has("booklet"), F.when(~filled("$.booklet.path") | F.contains(text("$.booklet.path"), F.lit("\0")), "booklet.path").when(~spoken("$.booklet.language"), "booklet.language")),
         F.when(has("reference"), F.when(~filled("$.reference.text"), "reference.text").when(~spoken("$.reference.language"), "reference.language")),
     )
+    vote = F.try_variant_get("v", "$.vote", "variant")
+    nameless = kind("$.vote").startswith("OBJECT") & (F.coalesce(text("$.vote.title"), F.lit("")) == "") & (F.coalesce(text("$.vote.name"), F.lit("")) == "")
+    title = F.when(nameless, jsonl.dumped_vote(F.col("line"), nameless)).otherwise(vote_title(vote))
     return v.select(
-        "line_no", *[c for c in ("path", "file_line") if c in rows.columns], F.try_variant_get("v", "$.id", "variant").alias("id_value"), kind("$.id").alias("id_kind"), text("$.id").alias("id"), F.try_variant_get("v", "$.vote", "variant").alias("vote"), text("$.claim.text").alias("claim"), text("$.claim.language").alias("claim_lang"),
+        "line_no", *[c for c in ("path", "file_line") if c in rows.columns], "id_kind", "id", F.when(F.col("id_kind") == "STRING", F.to_json(F.try_variant_get("v", "$.id", "variant"))).otherwise(F.col("id")).alias("id_json"),
+        F.try_variant_get("v", "$.vote", "variant").alias("vote"), title.alias("vote_title"), text("$.claim.text").alias("claim"), text("$.claim.language").alias("claim_lang"),
         F.when(has("booklet"), "A").otherwise("B").alias("task"), F.coalesce(text("$.booklet.language"), text("$.reference.language")).alias("source_lang"),
         text("$.booklet.path").alias("booklet_path"), text("$.reference.text").alias("reference_text"), bad.alias("error"),
     )

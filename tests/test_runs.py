@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factgrid import settings
 from factgrid.operators import crawl, evaluate, retrieval
-from factgrid.plans import run
+from factgrid.plans import run, scorecard
 from factgrid.sources import pages, requests
 
 TEXT = {"text": "Die Gemeinde baut 2025 eine Schule im Dorf.", "language": "de"}
@@ -106,8 +106,52 @@ def test_evaluator(spark):
     assert {r["issue"]: r["n"] for r in evaluate.issues(rows, predictions).collect()} == {
         "missing or duplicate response": 2, "label_name does not match label": 1, "invalid metrics.output_tokens (does not affect the score)": 3, "unknown id": 1, "duplicate id": 1,
     }
-    full = evaluate.report(rows, predictions).collect()
-    assert len(full) == 1 and full[0]["cases"] == 5 and len(full[0]["tasks"]) == 2 and full[0]["languages"] == []
+    full = scorecard.report(rows, predictions)
+    assert full["cases"] == 5 and full["responses"] == 4 and sorted(full["tasks"]) == ["A", "B"] and full["languages"] == {}
+
+
+def test_evaluate_files(spark, tmp_path):
+    """From files to a report and a scorecard: repeated keys, NaN, blank lines, a note where passages are missing, and limits for quotes."""
+    quote = "Die Gemeinde baut eine Schule"
+    gold = [{"id": "1-A", "label": 0, "reference": f"{quote} im Dorf."}, {"id": "2-A", "label": 2, "reference": "anders"}, {"id": "3-B", "label": 1}, {"id": "3-B", "label": 2}]
+    known = [{"id": "1-A", "claim": {"language": "fr"}, "booklet": {"language": "de"}}, {"id": "3-B", "claim": {}, "reference": {"text": "x"}}]
+    said = ['{"id": "1-A", "label": 7, "label": 0, "label_name": "entailment", "evidence": [{"text": "%s"}], "metrics": {"input_tokens": NaN, "output_tokens": 4, "inference_time_ms": 1.5}}' % quote.replace("baut", "baud"), "", '{"id": "3-B", "label": 2, "label_name": "contradiction", "metrics": []}']
+    for name, lines in (("gold", map(json.dumps, gold)), ("known", map(json.dumps, known)), ("said", said)):
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    f = lambda **kw: scorecard.evaluate_files(spark, *(str(tmp_path / n) for n in ("said", "gold", "known")), **kw)
+    full = f(target=str(tmp_path / "out/report.json"))
+    assert json.loads((tmp_path / "out/report.json").read_text()) == full
+    a, b = full["tasks"]["A"], full["tasks"]["B"]
+    assert (full["cases"], full["responses"], a["cases"], a["accuracy"], a["passes_threshold"], a["evidence"], a["evidence_score"]) == (3, 2, 2, 0.5, False, {"cases": 2, "found": 1, "without_gold_passage": 0}, 0.5)
+    assert b["macro_f1"] == 1 and b["mean_f1"] == pytest.approx(1 / 3) and b["per_class"]["contradiction"] == {"precision": 1, "recall": 1, "f1": 1, "support": 1} and b["passes_threshold"] is True
+    assert full["languages"] == {"A de->fr": {"cases": 1, "macro_f1": 1.0}, "B ?->?": {"cases": 1, "macro_f1": 1.0}}
+    assert full["issues"] == {"invalid metrics.input_tokens (does not affect the score)": 2, "invalid metrics.inference_time_ms (does not affect the score)": 1, "invalid metrics.output_tokens (does not affect the score)": 1, "missing or duplicate response": 1}
+    assert f(min_score=99)["tasks"]["A"]["evidence"]["found"] == f(max_chars=10)["tasks"]["A"]["evidence"]["found"] == 0
+    (tmp_path / "gold").write_text(json.dumps(gold[0] | {"reference": None}) + "\n")
+    text = scorecard.scorecard(f())
+    assert "no gold passage" in text and "BELOW" not in text and "invalid metrics.input_tokens" in text
+    (tmp_path / "said").write_text("[1]\n")
+    with pytest.raises(Exception, match="not a JSON object"):
+        f()
+
+
+def test_json_as_python_reads_it(spark):
+    """Ids of any length, the last of repeated keys, NaN beside, votes without a title in their own order; 7.0 and 1e3 are no whole numbers."""
+    line = lambda i, vote='"v"', more="": '{"id": %s, "vote": %s, "claim": {"text": "c", "language": "de"}, "reference": {"text": "r", "language": "fr"}%s}' % (i, vote, more)
+    big, huge = str(2**70), str(3**200)
+    raw = [line(big), line(huge), line("7.0"), line("1e3"), line("5", more=', "x": NaN'), line("1", more=', "id": "2"'), line("3", '{"z": 1, "a": {"y": "ü", "b": []}}'), line("4", '{"title": "", "name": "n"}'), line("6", "null"), line("8", more=', "vote": '), line("true")]
+    got = [r for r in requests.checked(spark.createDataFrame(list(enumerate(raw)), "line_no long, raw string")).orderBy("line_no").collect()]
+    assert [(r["id"], r["id_kind"], r["id_json"]) for r in got[:2]] == [(big, "BIGINT", big), (huge, "BIGINT", huge)]
+    assert [r["error"] for r in got] == [None, None, *["id must be a non-empty string or an integer"] * 2, None, None, None, None, None, "not JSON", "id must be a non-empty string or an integer"]
+    assert (got[5]["id"], got[5]["id_kind"], got[5]["id_json"]) == ("2", "STRING", '"2"')
+    assert [got[i]["vote_title"] for i in (4, 6, 7, 8)] == ["v", '{"z": 1, "a": {"y": "ü", "b": []}}', "n", None]
+
+
+def test_long_ids_run(spark, tmp_path):
+    ids = [2**70, 3**200, "7", 7]
+    (tmp_path / "in.jsonl").write_text("".join(json.dumps(request(i)) + "\n" for i in ids))
+    assert run.run(spark, str(tmp_path / "in.jsonl"), str(tmp_path / "out"), run.Neutral()) == 4
+    assert [x["id"] for x in written(spark, str(tmp_path / "out"))] == ids
 
 
 def test_crawl(spark):
@@ -123,12 +167,16 @@ def test_crawl(spark):
 
 def test_settings():
     key = {"API_KEY": "k"}
-    assert settings.settings(key).top_k == 5 and settings.settings({"LLM_API_KEY": "k", "CLAIMCHECK_TOP_K": "8", "CLAIMCHECK_FULL_DOCUMENT": "1"}) == settings.Settings("k", settings.MODEL, 8, True, 4)
-    for env in ({}, {"API_KEY": " ", "LLM_API_KEY": "k"}, key | {"LLM_NAME": "other/model"}, key | {"LLM_NAME": settings.FAMILY + " "}, key | {"CLAIMCHECK_TOP_K": "0"}, key | {"CLAIMCHECK_EMBEDDING_BATCH_SIZE": "x"}):
+    assert settings.settings(key | {"MODEL": "m"}) == settings.Settings("k", "m", 5, False, 4)
+    names = settings.Names(key=("A", "B"), model=("N",), model_family="maker/x-", model_default="maker/x-1", top_k="K", full_document="FULL", batch_size="BATCH")
+    assert settings.settings({"B": "k", "K": "8", "FULL": "1"}, names) == settings.Settings("k", "maker/x-1", 8, True, 4)
+    for env in ({}, {"A": " ", "B": "k"}, {"A": "k", "N": "other/model"}, {"A": "k", "N": "maker/x- "}, {"A": "k", "K": "0"}, {"A": "k", "BATCH": "x"}):
         with pytest.raises(ValueError):
-            settings.settings(env)
+            settings.settings(env, names)
+    with pytest.raises(ValueError, match="MODEL"):
+        settings.settings(key)
 
 
 def test_request_values(spark, source):
     """Ids keep their kind on the way through."""
-    assert [r[0] for r in requests.read_requests(spark, source).orderBy("line_no").select(F.to_json("id_value")).collect()] == ['"7"', "7", '"ü"']
+    assert [r[0] for r in requests.read_requests(spark, source).orderBy("line_no").select("id_json").collect()] == ['"7"', "7", '"ü"']
