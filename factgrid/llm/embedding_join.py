@@ -107,7 +107,7 @@ def _join(threshold: float):
 
 def _linked(packed: DataFrame, n: int, threshold: float, block: int, cell: int, name: str) -> DataFrame:
     """(cls, n, to) of all block pairs: rows with n > 0 count links, the others are links of a spanning forest."""
-    sample = packed.orderBy(F.xxhash64("cls"), "cls").limit(int(min(MOST_PIVOTS, max(1, n // cell)))).toPandas()
+    sample = packed.orderBy(F.xxhash64("vector"), "cls").limit(int(min(MOST_PIVOTS, max(1, n // cell)))).toPandas()
     reach = float(np.sqrt(2 - 2 * threshold)) + SLACK
     dealt = stored(cells(packed, unit_rows(sample["vector"]), reach), f"cells{name}")
     up = lambda c: F.ceil(F.count_if(c) / F.lit(block)).cast("int")
@@ -127,14 +127,16 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors that are null, zero or hold null or non-finite components link with nothing: n_links 0 and a component
-    of their own; so do vectors of different lengths with each other. Equal vectors link. A vec_id on several
-    rows counts once per row. An empty table gives no rows; labels and other columns are ignored.
+    of their own; so do vectors of different lengths with each other. Equal vectors link. Each row is a vector of its own, also where its vec_id is
+    null or on several rows: it has the links of its own vector alone. component_id is the smallest vec_id that isn't null of the rows reachable, so it is null only
+    where none has one; kept compares it with vec_id, null being equal to null. An empty table gives no rows; labels and other columns are ignored.
     """
     own = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     bad = F.coalesce(F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True))
     ok = F.col("embedding").isNotNull() & ~bad & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
-    classes = stored(own.where(ok).groupBy("embedding").agg(F.min("vec_id").alias("cls"), F.count("*").alias("weight")), "classes")
-    member = own.where(ok).join(classes, "embedding").select("vec_id", "cls", "weight")
+    equal = own.where(ok).groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+    classes = stored(equal.withColumn("cls", F.monotonically_increasing_id()), "classes")  # a class has a number of its own, whatever ids its rows have
+    member = own.where(ok).join(classes, "embedding").select("vec_id", "cls", "weight", "least")
     joined = []
     for dims, n in classes.groupBy(F.size("embedding")).agg(F.count("*")).collect():  # one row for each length of vector
         joined.append(_linked(_packed(classes.where(F.size("embedding") == dims)), n, threshold, block, cell, str(dims)))
@@ -143,9 +145,12 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
         links = reduce(DataFrame.union, joined)
         by = links.where("n > 0").groupBy("cls").agg(F.sum("n").alias("n"))
         comp = components(links.where("to >= 0").select(F.col("cls").alias("src"), F.col("to").alias("dst")), "embedding")
-        found = member.join(by, "cls", "left").join(comp.withColumnRenamed("node", "cls"), "cls", "left")
-        rest = found.select("vec_id", (F.coalesce(F.col("n"), F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component_id")).union(rest)
-    return rest.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+        of = comp.withColumnRenamed("node", "cls").join(classes.select("cls", "least"), "cls")
+        of = of.select("cls", "component").join(of.groupBy("component").agg(F.min("least").alias("smallest")), "component").select("cls", "smallest")
+        found = member.join(by, "cls", "left").join(of.withColumn("linked", F.lit(True)), "cls", "left")
+        component = F.when(F.col("linked"), F.col("smallest")).otherwise(F.col("least"))
+        rest = found.select("vec_id", (F.coalesce(F.col("n"), F.lit(0)) + F.col("weight") - 1).alias("n_links"), component.alias("component_id")).union(rest)
+    return rest.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _packed(classes: DataFrame) -> DataFrame:

@@ -261,6 +261,24 @@ def test_vectors(spark):
     assert rows(embedding_join.near_vectors(df, block=16, cell=12), "vec_id", "n_links", "component_id", "kept") == brute.vectors(data)
 
 
+def test_vectors_repeated_ids(spark):
+    """Each row is a vector of its own: an id on several rows has each row's own links, and null ids link as others do."""
+    e = lambda *at: [1.0 if k in at else 0.0 for k in range(8)]
+    near = lambda k: [*e(k)[:7], 0.3]
+    data = [(1, e(0)), (1, e(2)), (2, near(0)), (3, near(2)), (3, near(2)), (None, e(4)), (9, near(4)), (8, near(4)), (None, e(5)), (None, e(5)), (7, e(6)), (7, None), (None, None), (None, e(2))]
+    unit = [None if v is None else np.array(v) / np.linalg.norm(v) for _, v in data]
+    links = [(i, j) for i in range(len(data)) for j in range(i) if unit[i] is not None and unit[j] is not None and unit[i] @ unit[j] >= 0.9]
+    comp = brute.smallest_reachable(range(len(data)), links)
+    want = []
+    for i, (ident, _) in enumerate(data):
+        least = min((data[j][0] for j in range(len(data)) if comp[j] == comp[i] and data[j][0] is not None), default=None)
+        want.append((ident, sum(i in x for x in links), least, ident == least))
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    for cell in (2_000, 3):
+        got = embedding_join.near_vectors(df, block=4, cell=cell).select("vec_id", "n_links", "component_id", "kept").collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_archives(spark):
     pages = [(1, "http://a/", "<p>é\r\n\r\nWARC/1.1</p>"), (2, None, None), (3, "http://b/\r\nX: y", ""), (4, "http://c/", "<p>é\r\n\r\nWARC/1.1</p>"), (5, "http://d/", "x" * 3_000_000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
