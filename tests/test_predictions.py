@@ -1,6 +1,7 @@
 """The prediction contract, sinks and the request stream on small cases."""
 
 import hashlib
+import time
 import json
 
 from factgrid.sources import predictions
@@ -63,3 +64,17 @@ def test_stream(spark, tmp_path):
         (tmp_path / "in" / f"{name}.jsonl").write_text("\n".join(line % i for i in ids) + "\n\n")
         requests.keep(requests.first_of_id(requests.request_stream(spark, str(tmp_path / "in"))), *args).awaitTermination(120)
     assert sorted((r["id_kind"], r["id"]) for r in spark.read.parquet(args[0]).collect()) == [("BIGINT", "7"), ("BIGINT", "8"), ("STRING", "7")]
+
+
+def test_stream_forgets(spark, tmp_path):
+    """After its time an id is forgotten, so that it may come again; before, it may not, also not after a restart."""
+    line = '{"id": %s, "vote": {"title": "t"}, "claim": {"text": "c", "language": "de"}, "reference": {"text": "r", "language": "it"}}'
+    (tmp_path / "in").mkdir()
+    for k, (ident, wait) in enumerate(((1, 0), (1, 0), (2, 0), (3, 4), (1, 4))):
+        time.sleep(wait)
+        (tmp_path / "in" / f"{k}.jsonl").write_text(line % ident)
+        stream = requests.first_of_id(requests.request_stream(spark, str(tmp_path / "in")), "100 seconds" if k < 2 else "1 second")
+        requests.keep(stream, str(tmp_path / f"out{k > 1}"), str(tmp_path / f"state{k > 1}")).awaitTermination(120)
+    seen = lambda k: sorted(r["id"] for r in spark.read.parquet(str(tmp_path / f"out{k}")).collect())
+    assert seen(False) == ["1"] and seen(True) == ["1", "1", "2", "3"]
+    assert json.loads(spark.read.parquet(str(tmp_path / "outFalse")).first()["vote"]) == {"title": "t"}
