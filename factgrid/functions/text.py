@@ -43,7 +43,7 @@ def is_filler(c: Column) -> Column:
 
 def join_hyphens(c: Column) -> Column:
     """Words broken at a line end joined, whether the mark ends the line or begins the next; other soft hyphens made visible, blank lines folded."""
-    lines = F.regexp_replace(F.translate(F.regexp_replace(c, BREAK, ""), "\u00ad\x02", "-"), "\\n\\n\\n+", "\n\n")
+    lines = F.regexp_replace(F.translate(F.regexp_replace(c, BREAK, ""), "\u00ad\x02", "-"), "\\n{3,}", "\n\n")
     return F.concat(strip(lines), F.lit("\n"))
 
 
@@ -55,13 +55,18 @@ def folded(c: Column) -> Column:
 def char_shingles(c: Column, k: int = 10) -> Column:
     """Distinct k-character windows of the case-folded text with white space folded."""
     t = F.regexp_replace(folded(c), r"(?U)\s+", " ")
-    return F.when(F.length(t) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - (k - 1)), lambda i: F.substring(t, i, F.lit(k))))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1)))  # one pass: a window begins at each character that has k - 1 behind it
+
+
+# fixed values: how many characters the second text has to be longer by, and what share of its shingles has to be new
+LONGER_BY = 100
+NEW_SHARE = 0.15
 
 
 def choose_page(first: Column, second: Column) -> Column:
     """The second extractor's text only where it is over 100 characters longer and over 15 % of its shingles are new."""
     a, b = char_shingles(first), char_shingles(second)
-    more = (F.size(b) > 0) & (F.length(second) > F.length(first) + 100) & (F.size(F.array_except(b, a)) / F.size(b) > 0.15)
+    more = (F.size(b) > 0) & (F.length(second) > F.length(first) + LONGER_BY) & (F.size(F.array_except(b, a)) / F.size(b) > NEW_SHARE)
     return F.when(more, second).otherwise(first)
 
 

@@ -43,9 +43,14 @@ def first_hits(citations: DataFrame, chunks: DataFrame) -> DataFrame:
 def best_chunks(texts: DataFrame, chunks: DataFrame) -> DataFrame:
     """(request, chunk, page, text): the chunk most like any of a request's texts, the lowest of equals; without texts the first."""
     asked = texts.where(F.length(text.strip(F.col("text"))) >= text.MIN_QUOTE_CHARS).select("request", F.col("text").alias("wanted")).distinct()
-    both = chunks.select("request", "chunk", "page", "text").join(asked, "request", "left").withColumn("score", alignment("wanted", "text")["score"])
+    held = chunks.select("request", "chunk", "page", "text")
+    whole = F.contains("text", "wanted") | ((F.length("text") > 0) & F.contains("wanted", "text"))
+    first = held.join(asked, "request").where(whole).groupBy("request").agg(F.min("chunk").alias("first"))  # nothing is more like a text than what holds it
+    exact = held.join(first, "request").where(F.col("chunk") == F.col("first")).drop("first")
+    rest = held.join(first, "request", "left_anti").join(asked, "request", "left").withColumn("score", alignment("wanted", "text")["score"])
     each = Window.partitionBy("request").orderBy(F.desc("score"), "chunk")
-    return both.withColumn("n", F.row_number().over(each)).where("n = 1").select("request", "chunk", "page", "text")
+    near = rest.withColumn("n", F.row_number().over(each)).where("n = 1").select(*held.columns)
+    return exact.dropDuplicates(["request"]).unionByName(near)
 
 
 def evidence_hits(gold: DataFrame, quotes: DataFrame, min_score: float = MIN_SCORE, max_chars: int = text.EVIDENCE_CHARS) -> DataFrame:

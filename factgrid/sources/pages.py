@@ -11,10 +11,9 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from factgrid.functions import text
-from factgrid.operators import layout
+from factgrid.operators import layout, segmented
 
 BOXES = "path string, page int, line_no int, left double, top double, page_width double, text string, has_form boolean, error string"
 Extractor = Callable[[bytes], Iterable[tuple]]
@@ -44,9 +43,10 @@ def line_boxes(files: DataFrame, extract: Extractor) -> DataFrame:
 
 def offsets(lines: DataFrame) -> DataFrame:
     """lines(path, page, line_no, text) with `offset`: where each line's first character that isn't blank stands in the page, two characters a line end."""
-    before = Window.partitionBy("path", "page").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    order = [F.col("line_no")]
+    placed = segmented.scanned(segmented.dealt(lines, order, ["path", "page"]), order, {"before": segmented.running_sum(F.length("text") + 2)}, ["path", "page"])
     blanks = F.length("text") - F.length(F.regexp_replace("text", r"(?U)^\s+", ""))
-    return lines.withColumn("offset", F.coalesce(F.sum(F.length("text") + 2).over(before), F.lit(0)) + blanks)
+    return placed.withColumn("offset", F.col("before") + blanks).drop("before", segmented.STRETCH)
 
 
 def pages(files: DataFrame, extract: Extractor, second: SecondExtractor | None = None) -> DataFrame:
