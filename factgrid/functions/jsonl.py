@@ -47,8 +47,8 @@ def _dumped_votes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def parsed(rows: DataFrame, raw: str = "raw") -> DataFrame:
     """rows with `line` and its variant `v`: raw where Spark's parser takes it; else, in Python and for such lines alone, the same JSON in a form that it takes, or null."""
-    rows = rows.withColumn("_v", F.try_parse_json(raw))
-    rows = rows.withColumn("_p", _plain_lines(F.when(F.col("_v").isNull(), F.col(raw))))
+    rows = rows.withColumn("_v", F.when(F.is_valid_utf8(raw), F.try_parse_json(raw)))
+    rows = rows.withColumn("_p", _plain_lines(F.when(F.col("_v").isNull() & F.is_valid_utf8(raw), F.col(raw))))
     return rows.withColumn("line", F.when(F.col("_v").isNotNull(), F.col(raw)).otherwise(F.col("_p"))).withColumn("v", F.coalesce("_v", F.try_parse_json("_p"))).drop("_v", "_p")
 
 

@@ -95,7 +95,7 @@ def test_read_requests(spark, tmp_path):
 
 
 def test_lines_of_splits(spark, tmp_path):
-    """Numbers count on over the splits of a file and begin anew in each file, blank lines counted."""
+    """A file's numbers count on over its splits, blank lines counted, and line_no goes on in the next file."""
     for name in "ab":
         (tmp_path / f"{name}.jsonl").write_text("".join(f"{name}{k}\r\n" if k % 7 else "\n" for k in range(1, 4001)))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
@@ -104,4 +104,5 @@ def test_lines_of_splits(spark, tmp_path):
         got = requests.lines(spark, str(tmp_path)).collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    assert sorted((r["path"][-7], r["line_no"], r["raw"]) for r in got) == sorted((name, k, f"{name}{k}") for name in "ab" for k in range(1, 4001) if k % 7)
+    assert all(r["line_no"] == r["file_line"] + 4000 * (r["path"][-7] == "b") for r in got)
+    assert sorted((r["path"][-7], r["file_line"], r["raw"]) for r in got) == sorted((name, k, f"{name}{k}") for name in "ab" for k in range(1, 4001) if k % 7)
