@@ -15,6 +15,7 @@ import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +29,7 @@ from .common import chunks, stored, text_bytes
 LIMIT = 4096
 END_ID = 1
 #: Words, and parts of words, whose ids a Python worker keeps, and as many older ones.
-MOST_WORDS = 300_000
+MOST_WORDS = 200_000
 #: Steps of the search (fillings built or tried) after best-fit gave the first solution; it stops before where the bound is met.
 MOST_NODES = 20_000
 #: Pieces of one length whose ranks a task counts together, on average.
@@ -71,6 +72,10 @@ class Kept(dict):
         self[key] = found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
 
 class Parts(Kept):
     """The ids of a lower-case part of a word that the split leaves, by the model."""
@@ -115,14 +120,25 @@ class Encoder(Kept):
         text = word.decode("utf-8")
         return self._whole(text) if _ODD.search(text) else b"".join([self.parts[p.encode()] for p in _PARTS.findall(text.lower())])
 
+    def forget(self) -> None:
+        super().forget()
+        self.parts.forget()
+
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.split())) if self.wordwise else self._whole(text.decode("utf-8"))
 
 
-@lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    """A worker's own, kept from task to task."""
-    return Encoder(path)
+_loaded = lru_cache(maxsize=1)(Encoder)
+
+
+@contextmanager
+def encoder(path: str) -> Iterator[Encoder]:
+    """A worker's own: the tokenizer is kept from task to task, the ids of words only until the task ends."""
+    own = _loaded(path)
+    try:
+        yield own
+    finally:
+        own.forget()
 
 
 def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
@@ -131,15 +147,16 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = EN
     kinds = pa.schema(list(zip(names, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
-        for part, texts in chunks(batches):
-            rows: list[tuple] = []
-            for doc, text in zip(part.column(0).to_pylist(), texts):
-                ids = encode(text) + end
-                for i, at in enumerate(range(0, len(ids), 4 * limit)):
-                    own = ids[at : at + 4 * limit]
-                    rows.append((doc, i, at // 4, len(own) // 4, zlib.crc32(own)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.types)], schema=kinds)
+        end = np.array([end_id], "<u4").tobytes()
+        with encoder(tokenizer) as words:
+            for part, texts in chunks(batches):
+                rows: list[tuple] = []
+                for doc, text in zip(part.column(0).to_pylist(), texts):
+                    ids = words.encode(text) + end
+                    for i, at in enumerate(range(0, len(ids), 4 * limit)):
+                        own = ids[at : at + 4 * limit]
+                        rows.append((doc, i, at // 4, len(own) // 4, zlib.crc32(own)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.types)], schema=kinds)
 
     return docs.select("doc_id", text_bytes()).mapInArrow(cut, PIECES)
 

@@ -90,12 +90,13 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     kinds = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_ids", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary())])
 
     def ids(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_text, end = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
-        for part, texts in chunks(batches):
-            found = [encode_text(t) + end for t in texts]
-            numbers = [np.frombuffer(x, "<u4") for x in found]
-            narrow = [b"\2" + x.astype("<u2").tobytes() if x.max() < 1 << 16 else b"\4" + x.tobytes() for x in numbers]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(len, numbers), pa.int64()), pa.array(map(zlib.crc32, found), pa.int64()), pa.array(narrow, pa.binary())], schema=kinds)
+        end = np.array([end_id], "<u4").tobytes()
+        with encoder(tokenizer) as words:
+            for part, texts in chunks(batches):
+                found = [words.encode(t) + end for t in texts]
+                numbers = [np.frombuffer(x, "<u4") for x in found]
+                narrow = [b"\2" + x.astype("<u2").tobytes() if x.max() < 1 << 16 else b"\4" + x.tobytes() for x in numbers]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(len, numbers), pa.int64()), pa.array(map(zlib.crc32, found), pa.int64()), pa.array(narrow, pa.binary())], schema=kinds)
 
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text_bytes())
     return rows.mapInArrow(ids, "doc_id long, row long, n_ids long, crc long, ids binary")
