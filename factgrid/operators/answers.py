@@ -51,7 +51,10 @@ def parsed(rows: DataFrame, answer: str = "answer") -> DataFrame:
     The flags subject_addressed and same_meaning decide before the label word. Without such an object a label in the text is
     taken, without its flags; else the label is NEUTRAL and parse_error says so. Malformed citations are left out.
     """
-    read = rows.withColumn("_t", text.unfenced(F.col(answer))).withColumn("_v", answer_object("_t")).withColumn("_v", F.try_parse_json("_v"))
+    read = rows.withColumn("_t", text.unfenced(F.col(answer))).withColumn("_w", F.try_parse_json("_t"))
+    known = F.schema_of_variant("_w").startswith("OBJECT") & text.label_of(F.try_variant_get("_w", "$.label", "string")).isNotNull()
+    read = read.withColumn("_w", F.when(known, F.col("_w")))  # an answer that is such an object and nothing else; only others go through Python
+    read = read.withColumn("_p", answer_object(F.when(F.col("_w").isNull(), F.col("_t")))).withColumn("_v", F.coalesce("_w", F.try_parse_json("_p")))
     says = lambda key: F.try_variant_get("_v", f"$.{key}", "string")
     word = F.coalesce(text.label_of(says("label")), text.label_of(F.regexp_extract("_t", r'(?i)"label"\s*:\s*"?\s*([A-Za-z]+)', 1)))
     items = F.transform(F.try_variant_get("_v", "$.citations", "array<variant>"), _cited)

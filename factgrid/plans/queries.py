@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factgrid.functions import text
 from factgrid.operators import answers, crawl, evaluate, intervals, layout, quotes, retrieval, scoring
 from factgrid.sources import predictions, requests
+from factgrid.storage import stored
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -114,7 +115,7 @@ def _evaluated(spark: SparkSession, d: str) -> DataFrame:
 
 def task_report(spark: SparkSession, d: str) -> DataFrame:
     """Cases, macro-F1, accuracy, pass mark and evidence by task."""
-    t = evaluate.tasks(_evaluated(spark, d))
+    t = evaluate.tasks(stored(_evaluated(spark, d), "evaluated"))
     return t.select("task", "cases", F.round("macro_f1", 9).alias("macro_f1"), F.round("accuracy", 9).alias("accuracy"), "threshold", "passes", "evidence_cases", "found", F.round("evidence_score", 9).alias("evidence_score"))
 
 
