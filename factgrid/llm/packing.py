@@ -32,6 +32,8 @@ END_ID = 1
 MOST_WORDS = 200_000
 #: Steps of the search (fillings built or tried) after best-fit gave the first solution; it stops before where the bound is met.
 MOST_NODES = 20_000
+#: Levels of the search whose state is kept, the deepest ones; others are built again when the search comes back to them, so memory doesn't follow the number of bins.
+OPEN_LEVELS = 32
 #: Pieces of one length whose ranks a task counts together, on average.
 BUCKET_PIECES = 500
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -222,6 +224,14 @@ class Steps:
         return self.left >= 0
 
 
+class Level:
+    """A bin of the search: the fillings that are left to try, of which one may waste no more than spare (None: no filling at all), and how many were tried."""
+
+    def __init__(self, spare: int | None):
+        self.ways: Iterator | None = None
+        self.spare, self.tried = spare, 0
+
+
 def completions(counts: dict[int, int], largest: int, limit: int, steps: Steps, least: int = 0) -> Iterator[tuple[int, ...]]:
     """The undominated fillings around one of the largest, longest lengths first, one at a time.
 
@@ -298,9 +308,15 @@ def solve(counts: dict[int, int], limit: int = LIMIT, most_nodes: int = MOST_NOD
     spare = lambda: (size(best) - 1 - used) * limit - sum(k * n for k, n in left.items())
     if -(-tokens // limit) >= size(best):
         return whole + best
-    depth = [tries(left, spare())]  # one for each depth; a step is undone when its branch ends
+    depth = [Level(spare())]  # one for each bin placed; a step is undone when its branch ends
     while depth and size(best) > goal and steps.take():
-        step = next(depth[-1], None)
+        level = depth[-1]
+        if level.ways is None:  # its fillings so far are built again
+            level.ways = iter(()) if level.spare is None else tries(left, level.spare)
+            for _ in range(level.tried):
+                next(level.ways, None)
+        level.tried += 1
+        step = next(level.ways, None)
         if step is None:
             depth.pop()
             if done:
@@ -314,14 +330,16 @@ def solve(counts: dict[int, int], limit: int = LIMIT, most_nodes: int = MOST_NOD
         left = {k: n for k, n in left.items() if n}
         done.append(step)
         used += times
+        if len(depth) >= OPEN_LEVELS:
+            depth[-OPEN_LEVELS].ways = None
         if used + least_bins(left, limit) >= size(best):  # its waste is too much already, or it is complete and no better
-            depth.append(iter(()))
+            depth.append(Level(None))
             continue
         if not left or nodes % 16 == 0:
             tail = best_fit(left, limit) if left else []
             if used + size(tail) < size(best):
                 best = done + tail
-        depth.append(tries(left, spare()) if left else iter(()))
+        depth.append(Level(spare() if left else None))
     return whole + best
 
 

@@ -238,8 +238,10 @@ def test_encoder():
         assert encoder.encode(t.encode()) == encoder._whole(t), t
 
 
-def test_fewest_bins():
-    """The search meets the fewest bins, also where best-fit doesn't."""
+@pytest.mark.parametrize("levels", [packing.OPEN_LEVELS, 1])
+def test_fewest_bins(monkeypatch, levels):
+    """The search meets the fewest bins, also where best-fit does not, and where it builds nearly all of its levels again."""
+    monkeypatch.setattr(packing, "OPEN_LEVELS", levels)
     r, missed = random.Random(1), 0
     for _ in range(600):
         limit = r.choice((20, 50, 100))
