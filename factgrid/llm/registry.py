@@ -113,12 +113,29 @@ FROM steps JOIN gone p ON p.s = before JOIN gone h ON h.s = before + b AND h.par
 JOIN gone every ON every.s = 31 AND every.part = p.part JOIN gone other ON other.s = 31 - b AND other.part = p.part"""
 
 
+#: Spans from the pieces between matches: a match begins behind all pieces and matches before it. A least length within a run stands in the pattern.
+_SECRETS = r"""WITH docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+kinds AS (SELECT * FROM (VALUES (0, 'assign', '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 8), (1, 'access', 'AKIA[A-Z0-9]{12,}', 0, 0), (2, 'hex', '[0-9a-f]{32,}', 0, 0),
+  (3, 'pem', '-----BEGIN [A-Z ]*PRIVATE KEY-----', 0, 0), (4, 'chat', 'xox[abp]-[0-9A-Za-z-]{15,}', 0, 0)) v(k, kind, p, g, least)),
+found AS (SELECT n, k, kind, least, string_split_regex(t, p) AS s, regexp_extract_all(t, p, 0) AS m, CASE WHEN g = 2 THEN regexp_extract_all(t, p, 2) ELSE regexp_extract_all(t, p, 0) END AS v FROM docs, kinds WHERE regexp_matches(t, p)),
+each AS (SELECT n, k, kind, least, s, m, v, unnest(range(1, len(m) + 1)) AS i FROM found),
+spans AS (SELECT n, k, kind, list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a, length(m[i]) AS l FROM each WHERE length(v[i]) >= least),
+texts AS (SELECT n, k, a::BIGINT AS a, kind || ':' || a::BIGINT || ':' || (a + l)::BIGINT AS x FROM spans),
+listed AS (SELECT n, count_if(k = 0) AS n_assign, count_if(k = 1) AS n_access, count_if(k = 2) AS n_hex, string_agg(x, ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(x, ',' ORDER BY a, k) AS spans FROM texts GROUP BY n)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN listed USING (n)"""
+_CAPTURES = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substring(x, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INTEGER + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM d"""
+
+
 def oracle_sql() -> dict[str, str]:
     rounds = ",\n".join([_NEAR.format(k=0), *(x.format(k=k, j=k - 1) for k in (1, 2) for x in (_BOOK, _NEAR))])
     text = "coalesce(text, '')"
     return {
         "op2_exact_dedup": f"""SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256({text}) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY {text})""",
+        "op6_secret_scan": _SECRETS,
+        "op9_warc": _CAPTURES,
         "op12_vector_codes": _CODES.format(rounds=rounds),
         "op13_filter_audit": _AUDIT,
     }
