@@ -281,6 +281,19 @@ def test_vectors_repeated_ids(spark):
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
+def test_vectors_lie_once(spark, monkeypatch):
+    """Vectors that the pivots don't tell apart aren't stored for each cell; floats, runs of several blocks, cells without a block of their own."""
+    r = np.random.default_rng(2)
+    v = r.normal(size=(400, 16)).astype(np.float32)
+    v[200:] = v[:200] + r.normal(scale=0.12, size=(200, 16)).astype(np.float32)
+    data = [(i, x.tolist()) for i, x in enumerate(v)]
+    kept, store = {}, embedding_join.stored
+    monkeypatch.setattr(embedding_join, "stored", lambda df, name: kept.setdefault(name, store(df, name)))
+    got = embedding_join.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(3), block=4, cell=4)
+    assert rows(got, "vec_id", "n_links", "component_id", "kept") == brute.vectors(data)
+    assert max(df.count() for df in kept.values()) < 6 * len(data) and any(n > 0 for n, in got.select("n_links").collect())
+
+
 def test_archives(spark):
     pages = [(1, "http://a/", "<p>é\r\n\r\nWARC/1.1</p>"), (2, None, None), (3, "http://b/\r\nX: y", ""), (4, "http://c/", "<p>é\r\n\r\nWARC/1.1</p>"), (5, "http://d/", "x" * 3_000_000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
