@@ -4,11 +4,13 @@ A call is known by the SHA-256 of all that the model is given. As soon as it end
 before anything else is done with the answer. A task that is tried again, a second run and a request with the same payload find
 the record and make no call. (A call under way when an executor is lost has no record yet, so it alone is made again.) Records of failed
 attempts are kept beside, since their time counts as waiting for the model; a failed call is tried anew by the next run.
+Tasks roll their records up as they go, so that the log's files don't grow in number with the calls.
 """
 
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
 from collections import deque
@@ -29,6 +31,10 @@ from factgrid.storage import Folder, stored
 # fixed value: the most tokens of an answer
 MAX_TOKENS = 1024
 IN_FLIGHT = 4
+#: Answers that a task hands over at a time.
+ROWS = 256
+#: Records that a task rolls up at a time; those of a few first digits, as its calls are in their order.
+ROLL_UP = 4096
 #: Seconds of a cell of time in which a case and a call of the same worker meet.
 CELL = 60
 _ANSWER = {"key": pa.string(), "answer": pa.string(), "model": pa.string(), "input_tokens": pa.int64(), "output_tokens": pa.int64(), "api_time_ms": pa.int64(), "error": pa.string(), "replayed": pa.bool_(), "worker": pa.string(), "began": pa.float64(), "finished": pa.float64()}
@@ -67,18 +73,53 @@ def pooled(base: str, key: str, model: str, timeout: float = TIMEOUT) -> ChatCli
 
 
 class Log:
-    """Records of calls below a folder: <key>.json of one that succeeded, <key>.<id>.failed.json of each attempt that failed."""
+    """Records of calls below a folder, by the first two digits of the key: <key>.json of one that succeeded, <key>.<id>.failed.json of each attempt that failed.
+
+    roll_up puts those that this log has written or found into one file, many/<id>.json, a line each, and takes their own files away after that:
+    a record is always in one of them, and in both only where a task dies in between.
+    """
 
     def __init__(self, path: str):
-        self.folder = Folder(path)
+        self.folder, self.lock = Folder(path), threading.Lock()
+        self.fresh: dict[str, bytes] = {}
+        self.part, self.known, self.seen = "", {}, set()  # what many/ holds of the digits asked for last
 
     def find(self, key: str) -> dict | None:
-        data = self.folder.read(f"{key[:2]}/{key}.json")
+        name = f"{key[:2]}/{key}.json"
+        data = self.folder.read(name)
+        with self.lock:
+            if data:
+                self.fresh[name] = data
+            else:
+                data = self._rolled_up(key[:2]).get(key)
         return json.loads(data) if data else None
 
+    def _rolled_up(self, part: str) -> dict[str, bytes]:
+        if part != self.part:
+            self.part, self.known, self.seen = part, {}, set()
+        for name in self.folder.names(f"{part}/many"):
+            if name not in self.seen and name.endswith(".json"):
+                self.seen.add(name)
+                for line in (self.folder.read(name) or b"").split(b"\n"):
+                    if line and (record := json.loads(line))["error"] is None:
+                        self.known[record["key"]] = line
+        return self.known
+
     def put(self, record: dict) -> None:
         name = record["key"] if record["error"] is None else f"{record['key']}.{uuid.uuid4().hex}.failed"
-        self.folder.write(f"{record['key'][:2]}/{name}.json", json.dumps(record, ensure_ascii=False).encode())
+        name, data = f"{record['key'][:2]}/{name}.json", json.dumps(record, ensure_ascii=False).encode()
+        self.folder.write(name, data)
+        with self.lock:
+            self.fresh[name] = data
+
+    def roll_up(self) -> None:
+        with self.lock:
+            fresh, self.fresh = self.fresh, {}
+        for part in {name[:2] for name in fresh}:
+            own = {name: data for name, data in fresh.items() if name[:2] == part}
+            self.folder.write(f"{part}/many/{uuid.uuid4().hex}.json", b"\n".join(own.values()) + b"\n")
+            for name in own:
+                self.folder.delete(name)
 
 
 def one_call(log: Log, client: Client, worker: str, key: str, system: str, user: str, max_tokens: int) -> dict:
@@ -112,24 +153,35 @@ def called(payloads: DataFrame, log: str, connect: Callable[[], Client], model:
     """
     keyed = payloads.withColumn("key", call_key(system, model, max_tokens))
     n = tasks or int(payloads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    once = keyed.where("payload is not null").groupBy("key").agg(F.first("payload").alias("payload")).repartition(n, "key")
+    once = keyed.where("payload is not null").groupBy("key").agg(F.first("payload").alias("payload")).repartitionByRange(n, "key").sortWithinPartitions("key")  # a task has few first digits, one after another
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records, client, worker = Log(log), connect(), uuid.uuid4().hex
         waiting: deque[Future] = deque()
+        done: list[dict] = []
         with ThreadPoolExecutor(in_flight) as pool:
 
-            def oldest() -> pa.RecordBatch:
-                row = waiting.popleft().result()
-                return pa.RecordBatch.from_arrays([pa.array([row[k]], t) for k, t in _ANSWER.items()], names=list(_ANSWER))
+            def finish(most: int) -> None:
+                """Waits until at most so many calls are under way or waiting."""
+                while len(waiting) > most:
+                    done.append(waiting.popleft().result())
+
+            def answered() -> pa.RecordBatch:
+                rows = done.copy()
+                done.clear()
+                return pa.RecordBatch.from_arrays([pa.array([row[k] for row in rows], t) for k, t in _ANSWER.items()], names=list(_ANSWER))
 
             for batch in batches:
                 for key, user in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if len(waiting) >= 2 * in_flight:
-                        yield oldest()
+                    finish(2 * in_flight - 1)
+                    if len(records.fresh) >= ROLL_UP:
+                        records.roll_up()
+                    if len(done) >= ROWS:
+                        yield answered()
                     waiting.append(pool.submit(one_call, records, client, worker, key, system, user, max_tokens))
-            while waiting:
-                yield oldest()
+            finish(0)
+            records.roll_up()
+            yield answered()
 
     answers = stored(once.mapInArrow(ask, ANSWER), "answers")
     return keyed.select("request", "key").join(answers, "key", "left").withColumn("error", F.coalesce("error", F.when(F.col("key").isNull(), "no payload")))
@@ -137,7 +189,8 @@ def called(payloads: DataFrame, log: str, connect: Callable[[], Client], model:
 
 def spans(spark: SparkSession, log: str) -> DataFrame:
     """The log's records, those of failed attempts too: one for each time that a model was waited for."""
-    return spark.read.schema(RECORD).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(log)
+    records = spark.read.schema(RECORD).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(log)
+    return records.dropDuplicates(["key", "worker", "started"])  # a record that was being rolled up when its task died is there twice
 
 
 def local_ms(cases: DataFrame, waited: DataFrame) -> DataFrame:

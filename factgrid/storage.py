@@ -61,6 +61,13 @@ class Folder:
                 self.fs.delete_file(part)
             raise
 
+    def delete(self, name: str) -> None:
+        """Takes a file away, if it is there."""
+        try:
+            self.fs.delete_file(self._at(name))
+        except FileNotFoundError:
+            pass
+
     def names(self, below: str = "", any_kind: bool = False) -> list[str]:
         """The files directly in a folder, sorted; with any_kind its folders too."""
         found = self.fs.get_file_info(arrow_fs.FileSelector(self._at(below), allow_not_found=True))

@@ -199,6 +199,24 @@ def test_calls_once(spark, tmp_path):
     assert tuple(t) == (2, 40, 8)
 
 
+def test_rolled_up_calls(spark, tmp_path):
+    """The log's files don't grow with the calls; one that was left by a killed task, or is there twice, is one record, and answers are found in either place."""
+    log, made = str(tmp_path / "log"), str(tmp_path / "made")
+    body = lambda i: json.dumps({"claim": f"fails {i}" if i % 50 == 0 else f"claim {i}", "chunks": [{"text": "t" * 40}]})
+    df = spark.createDataFrame([(str(i), body(i)) for i in range(200)], "request string, payload string").repartition(3)
+    ask = lambda df: {r["request"]: r for r in calls.called(df, log, lambda: Fake(made), "fake", prompt.SYSTEM, in_flight=20).collect()}
+    few = ask(df.where("request < '2'"))
+    left = calls.Log(log)
+    record = left.find(few["1"]["key"])
+    left.put(record)  # as if the task had died before it took the file away
+    first, second = ask(df), ask(df)
+    assert len(first) == len(second) == 200 and len(Folder(made).names()) == 200 + 4 + sum(k < "2" and int(k) % 50 == 0 for k in first)
+    assert all(second[k]["replayed"] and second[k]["answer"] == first[k]["answer"] for k in first if int(k) % 50)
+    assert calls.spans(spark, log).count() == len(Folder(made).names())
+    files = [p for p in (tmp_path / "log").rglob("*.json")]
+    assert len({p.parent for p in files}) <= 256 and all(p.parent.name == "many" for p in files)
+
+
 def test_local_ms(spark):
     """Time with calls under way is taken off once, however they overlap, and only a worker's own; cells of time don't matter."""
     cases = spark.createDataFrame([(1, "w", 1.0, 10.0), (2, "w", 2.5, 6.5), (3, "w", 4.0, 6.0), (4, "v", 0.0, 200.0), (5, "w", 300.0, 300.0015)], "case long, worker string, began double, finished double")
