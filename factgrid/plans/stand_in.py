@@ -1,14 +1,15 @@
-"""A local HTTP server over files that Spark writes: it stands in for a dataset API and for the sites of booklets, where there is no network."""
+"""What stands in for services where there is no network: a local HTTP server over files that Spark writes for a dataset API, and files in the shared folder for the sites of booklets."""
 
 from __future__ import annotations
 
 import json
 import posixpath
 import threading
+from collections.abc import Iterable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from factgrid.storage import Folder, shared_dir
@@ -28,8 +29,14 @@ def write_pages(rows: DataFrame, folder: str) -> None:
 
 
 def write_files(rows: DataFrame, folder: str, name: str, body: Column) -> None:
-    """A file for each of rows, below its `name`."""
-    rows.select(F.col(name).alias("name"), body.alias("value")).repartition("name").write.partitionBy("name").text(f"{folder}/files")
+    """A file <name>.pdf for each of rows, with its body and an end of line. Tasks put them in place, so that nothing is left for the driver to do for each."""
+
+    def write(part: Iterable[Row]) -> None:
+        files = Folder(folder)
+        for row in part:
+            files.write(f"{row['name']}.pdf", row["value"].encode() + b"\n")
+
+    rows.select(F.col(name).cast("string").alias("name"), body.alias("value")).where("name is not null").foreachPartition(write)
 
 
 class _Handler(BaseHTTPRequestHandler):
@@ -50,7 +57,7 @@ class _Handler(BaseHTTPRequestHandler):
                 answer["rows"] = [r for r in answer["rows"] if offset <= r["row_idx"] < offset + length]
                 body = json.dumps(answer).encode()
         else:
-            body = self._part(f"files/name={posixpath.splitext(posixpath.basename(asked.path))[0]}")
+            body = None
         self.send_response(404 if body is None else 200)
         self.send_header("Content-Length", str(len(body or b"")))
         self.end_headers()

@@ -154,6 +154,30 @@ def test_killed_download(spark, site, tmp_path):
     assert Counter(r["status"] for r in got) == {"cached": 3, "downloaded": 2} and set(site.seen.values()) == {1}
 
 
+def test_downloads_from_a_store(spark, tmp_path):
+    """The manifest's files don't grow with the downloads, an URL's last entry counts, and what a killed task left is taken; from a store, without a server."""
+    for i in range(300):
+        Folder(f"{tmp_path}/site").write(f"{i}.pdf", (b"%PDF-" if i % 100 else b"<html>") + str(i).encode())
+    df = spark.createDataFrame([(f"file://{tmp_path}/site/{i}.pdf", f"pdf/{i}.pdf") for i in range(302)] + [(None, "x")], "url string, path string").repartition(3)
+    folder = str(tmp_path / "out")
+
+    def until_killed():
+        yield {"url": f"file://{tmp_path}/site/7.pdf", "path": "pdf/7.pdf"}
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        downloads.DownloadWriter({"path": folder}).write(until_killed())
+    first = {r["path"]: r for r in downloads.download(df, folder).collect()}
+    assert Counter(r["status"] for r in first.values()) == {"downloaded": 296, "error": 5, "pending": 1, "cached": 1}
+    assert first["pdf/8.pdf"]["sha256"] == hashlib.sha256(b"%PDF-8").hexdigest() and first["pdf/100.pdf"]["error"] == "no PDF header" and "no file" in first["pdf/301.pdf"]["error"]
+    Folder(f"{tmp_path}/site").write("100.pdf", b"%PDF-")
+    (tmp_path / "site/9.pdf").unlink()
+    (tmp_path / "out/pdf/9.pdf").unlink()
+    again = {r["path"]: r["status"] for r in downloads.download(df, folder).collect()}
+    assert Counter(again.values()) == {"cached": 296, "downloaded": 1, "error": 5, "pending": 1} and again["pdf/100.pdf"] == "downloaded" and again["pdf/9.pdf"] == "error"
+    assert len(list((tmp_path / "out/entries").rglob("*.json"))) < 12 and downloads.entries(spark, folder).count() == 302
+
+
 def test_folder(tmp_path):
     f = Folder(f"file://{tmp_path}")
     f.write("a/b.txt", b"1")
